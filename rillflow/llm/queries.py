@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, warc
+from . import chat, neardup, quality, sharding, warc
 from .common import table
 
 N_SHARDS = 16
@@ -33,6 +33,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op9_near_dedup": op9_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
