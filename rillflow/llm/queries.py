@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, quality, sharding, warc
+from . import chat, mixing, neardup, quality, sharding, warc
 from .common import table
 
 N_SHARDS = 16
@@ -33,6 +33,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
