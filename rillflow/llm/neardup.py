@@ -159,8 +159,8 @@ def _linked(rows: DataFrame, links, percent: int) -> DataFrame:
     return dealt.mapInArrow(_linker(links, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of near duplicates: id, text_hash, n_shingles, component_id, kept (id = component_id), stays (one row of each group).
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Groups of near duplicates: id, text_hash, n_shingles, component_id, kept (id = component_id), stays (one row of each group), and the columns ``carry``.
 
     Two documents are linked when percent * |union| <= 100 * |intersection| of their sets of five-word shingles (A-Z folded; a text of
     fewer words is one shingle). component_id is the least id reachable over links. A document without words is linked with nothing and stays.
@@ -175,9 +175,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     A pair with J >= 0.75 is missed by the estimate with probability 1e-5 or less; no list, group or partner is capped.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text)
-    kinds = dict(rows.dtypes)
-    rows = written(rows.mapInArrow(_sketched, f"id {kinds['id']}, text_hash long, n long, a long, b long, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    carried = [f"carried_{c}" for c in carry]
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(o) for c, o in zip(carry, carried)], F.col(text).alias("text"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    rows = written(rows.mapInArrow(_sketched, f"{kinds}, n long, a long, b long, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     classes = written(rows.where("n > 0").groupBy("a", "b").agg(F.min("rid").alias("node"), F.min(rank).alias("first"), F.max("n").alias("n")))
     nodes = written(rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.col("sketch").alias("values")))
@@ -210,4 +211,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     out = rows.drop("sketch").join(of, ["a", "b"], "left")
     alone = F.col("n") == 0
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), (alone | (F.col("rid") == F.col("stay"))).alias("stays"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), (alone | (F.col("rid") == F.col("stay"))).alias("stays"), *[F.col(o).alias(c) for c, o in zip(carry, carried)])
