@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators: plain functions from DataFrame to DataFrame."""

@@ -1 +1,129 @@
-"""See the modules of this package."""
+"""Readers and writers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, comment: str = "#") -> DataFrame:
+    """CSV with a declared schema; malformed and comment lines are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("comment", comment).option("columnPruning", "false").csv(path)
+
+
+def read_fields(spark: SparkSession, path: str, schema: list[tuple[str, str]], sep: str = ",") -> DataFrame:
+    """Text lines split to typed fields; lines with another number of fields are left out."""
+    parts = spark.read.text(path).select(F.split("value", sep, -1).alias("p")).where(F.size("p") == len(schema))
+    return parts.select(*[F.expr(f"try_cast(p[{i}] as {t})").alias(n) for i, (n, t) in enumerate(schema)])
+
+
+def parse_json(df: DataFrame, column: str, schema: str, required: str) -> DataFrame:
+    """JSON text to columns; rows that don't parse or lack ``required`` are left out."""
+    return df.withColumn("__j", F.from_json(column, schema, {"mode": "PERMISSIVE"})).where(F.col(f"__j.{required}").isNotNull()).select(*df.columns, "__j.*")
+
+
+def key_value(df: DataFrame, keys: list[str], value_has_keys: bool = True) -> DataFrame:
+    """Rows as JSON texts (key, value), as an upsert topic takes them."""
+    fields = df.columns if value_has_keys else [c for c in df.columns if c not in keys]
+    return df.select(F.to_json(F.struct(*keys)).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def range_predicates(column: str, lower: int, upper: int, n: int) -> list[str]:
+    """Predicates that cut a column into ``n`` ranges; the first also takes nulls and all below, the last all above."""
+    step = max(1, (upper - lower) // n)
+    cuts = [lower + step * i for i in range(1, n)]
+    if not cuts:
+        return ["true"]
+    inner = [f"{column} >= {a} and {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]} or {column} is null", *inner, f"{column} >= {cuts[-1]}"]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, n: int = 1, **options: str) -> DataFrame:
+    """A JDBC table, read in ``n`` ranges of a numeric column where one is given."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column:
+        reader = reader.options(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(n))
+    return reader.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 500, mode: str = "append", **options: str) -> None:
+    """Write to a JDBC table in batches."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+
+
+def shard_of(n: int, *columns: str) -> Column:
+    """Shard of a row by MD5 of its key columns, which other systems can compute as well."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+def write_sharded(df: DataFrame, path: str, n: int, *columns: str) -> None:
+    """Rows to ``path/shard=k``, each shard from one task (salt the columns where one key is large)."""
+    df.withColumn("shard", shard_of(n, *columns)).repartition(n, "shard").write.partitionBy("shard").parquet(path)
+
+
+def write_dynamic(df: DataFrame, path: str, partitions: list[str], max_records: int = 0) -> None:
+    """Write partitions derived from the rows; only those that occur are replaced."""
+    df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records).partitionBy(*partitions).parquet(path)
+
+
+def write_static(df: DataFrame, path: str, partition: dict[str, str]) -> None:
+    """Write all rows into one named partition, replacing it."""
+    df.withColumns({k: F.lit(v) for k, v in partition.items()}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def partition_time(dt: Column, hm: Column | None = None) -> Column:
+    """Time of a partition from its values by the pattern '$dt $hm:00'; a missing or unreadable hm means midnight."""
+    day = F.try_to_timestamp(dt, F.lit("yyyy-MM-dd"))
+    whole = day if hm is None else F.coalesce(F.try_to_timestamp(F.concat(dt, F.lit(" "), hm, F.lit(":00")), F.lit("yyyy-MM-dd HH:mm:ss")), day)
+    return whole.cast("timestamp_ntz")
+
+
+def committable(parts: DataFrame, start: str, length: str, delay: str, watermark: Column) -> DataFrame:
+    """Partitions that the watermark has passed by ``delay``."""
+    return parts.where(watermark > F.expr(f"{start} + interval {length} + interval {delay}"))
+
+
+def commit(spark: SparkSession, path: str, partitions: list[str], policy: Callable[[str], None] | None = None) -> None:
+    """Mark partition folders as complete: an empty _SUCCESS file, written through Hadoop's file system, then ``policy(folder)``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in partitions:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{p}/_SUCCESS")
+        target.getFileSystem(conf).create(target, True).close()
+        if policy:
+            policy(f"{path}/{p}")
+
+
+def latest_partition(df: DataFrame, column: str) -> DataFrame:
+    """Rows of the greatest partition, found by a scalar subquery that Spark turns into partition pruning."""
+    df.createOrReplaceTempView("__latest")
+    return df.sparkSession.sql(f"select * from __latest where {column} = (select max({column}) from __latest)")
+
+
+def compact(spark: SparkSession, path: str, out: str, files: int) -> None:
+    """Rewrite a table's many small files as ``files`` files at ``out``, without a shuffle."""
+    spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(out)
+
+
+def kafka_source(spark: SparkSession, servers: str, topic: str, start: str = "latest", timestamp: int | None = None, rate: int | None = None) -> DataFrame:
+    """A Kafka topic as a stream, from earliest, latest or a time in ms (needs Spark's Kafka package)."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    reader = reader.option("startingTimestamp", timestamp) if timestamp is not None else reader.option("startingOffsets", start)
+    return (reader.option("maxOffsetsPerTrigger", rate) if rate else reader).load()
+
+
+def file_source(spark: SparkSession, path: str, schema: str, kind: str = "json", files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder as a stream: those there first, then new ones."""
+    reader = spark.readStream.format(kind).schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
+
+
+def socket_source(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines of a socket as a stream (for demonstrations)."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def generated(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
+    """Bounded generated rows: id in sequence and a random value."""
+    return spark.range(rows).withColumn("value", F.rand(seed))
