@@ -1 +1,209 @@
-"""See the modules of this package."""
+"""Structured Streaming forms of the operators.
+
+A watermark moves between micro-batches, so a row is late only against what earlier batches held; ``operators.lateness`` has the
+form by arrival order. Every sink function is for ``foreachBatch`` and may see a batch again after a failure.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators import keyed
+
+
+def watermarked(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFrame:
+    """A stream with event time: ``ts`` becomes a timestamp with zone, as watermarks need."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def window_agg(df: DataFrame, keys: list[str], ts: str, size: str, *aggs: Column, slide: str | None = None) -> DataFrame:
+    """Aggregates per key and tumbling or hopping window, of a stream (one state row per key and window) or a table."""
+    out = df.groupBy(*keys, F.window(ts, size, slide or size).alias("w")).agg(*aggs)
+    return out.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c not in (*keys, "w")])
+
+
+def session_agg(df: DataFrame, keys: list[str], ts: str, gap: str, *aggs: Column) -> DataFrame:
+    """Aggregates per key and session."""
+    out = df.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(*aggs)
+    return out.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c not in (*keys, "w")])
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, back: str, ahead: str) -> DataFrame:
+    """Join of two watermarked streams on keys and lt - back <= rt <= lt + ahead; Spark drops state that can't match any more."""
+    r = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.expr(f"{rt} >= {lt} - interval {back} and {rt} <= {lt} + interval {ahead}")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return left.join(r, on).drop(*[f"__{k}" for k in keys])
+
+
+def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """First row of each key of a watermarked stream; a key is forgotten when the watermark passes its row."""
+    return df.dropDuplicatesWithinWatermark(keys)
+
+
+class PvTimer(StatefulProcessor):
+    """Rows of a key since its timer was armed; the first row arms it, it fires ``seconds`` of event time later and the next row arms it again."""
+
+    def __init__(self, key: str, ts: str, seconds: float):
+        self.key, self.ts, self.millis = key, ts, int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pv", "armed long, pv long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark passes
+        times = sorted(t.value // 1_000_000 for pdf in rows for t in pdf[self.ts])
+        armed, pv = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        for t in times:
+            if armed is not None and t >= armed + self.millis:
+                self.handle.deleteTimer(armed + self.millis)
+                out.append((key[0], armed, pv))
+                armed, pv = None, 0
+            if armed is None:
+                armed, pv = t, 0
+                self.handle.registerTimer(armed + self.millis)
+            pv += 1
+        if armed is not None:
+            self.state.update((armed, pv))
+        yield pd.DataFrame(out, columns=[self.key, "armed", "pv"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        armed, pv = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(key[0], armed, pv)], columns=[self.key, "armed", "pv"])
+
+    def close(self) -> None:
+        pass
+
+
+def pv_timer(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
+    """``PvTimer`` over a watermarked stream: key, armed (ms), pv."""
+    schema = f"`{key}` {dict(df.dtypes)[key]}, armed long, pv long"
+    return df.groupBy(key).transformWithStateInPandas(PvTimer(key, ts, seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class CountWindow(StatefulProcessor):
+    """Sums over each ``n`` rows of a key in order of arrival."""
+
+    def __init__(self, key: str, value: str, n: int):
+        self.key, self.value, self.n = key, value, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "value double")
+        self.count = handle.getValueState("count", "windows long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
+        no = self.count.get()[0] if self.count.exists() else 0
+        held += [float(v) for pdf in rows for v in pdf[self.value]]
+        out = []
+        while len(held) >= self.n:
+            out.append((key[0], no, sum(held[: self.n])))
+            held, no = held[self.n :], no + 1
+        self.held.put([(x,) for x in held]) if held else self.held.clear()
+        self.count.update((no,))
+        yield pd.DataFrame(out, columns=[self.key, "window_no", "total"])
+
+    def close(self) -> None:
+        pass
+
+
+def count_window(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """``CountWindow`` over a stream: key, window_no, total; a key's state holds fewer than ``n`` values."""
+    schema = f"`{key}` {dict(df.dtypes)[key]}, window_no long, total double"
+    return df.groupBy(key).transformWithStateInPandas(CountWindow(key, value, n), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """One batch to several sinks; it is computed once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def upserts(path: str, keys: list[str], version: list[str], partition: str, mode: str = "copy") -> Callable[[DataFrame, int], None]:
+    """Batches upserted into a keyed table; the same batch twice changes nothing."""
+    return lambda batch, batch_id: keyed.upsert_write(batch.sparkSession, path, batch, keys, version, partition, mode)
+
+
+def ranked(keys: list[str], order: list[Column], n: int, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Top ``n`` per key of the windows that a batch updates (streams have no row_number)."""
+    return lambda batch, batch_id: write(batch.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n), batch_id)
+
+
+def appended(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch in its own folder ``batch_id=k``, replaced if it comes again."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def buffered(path: str, threshold: int, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Rows are held in a table at ``path`` and written once ``threshold`` are there; the buffer survives a restart."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/held/batch_id={batch_id}")
+        done = _mark(spark, f"{path}/done")
+        rows = spark.read.parquet(f"{path}/held").where(F.col("__batch") > done)
+        if rows.count() >= threshold:
+            write(rows.drop("__batch", "batch_id"), batch_id)
+            _set_mark(spark, f"{path}/done", batch_id, batch_id)
+
+    return run
+
+
+def late_split(path: str, ts: str, size: str, disorder: str, lateness: str, main: Callable[[DataFrame, int], None], side: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Rows whose window closed more than ``lateness`` before the watermark of earlier batches go to ``side``, others to ``main``. The greatest time is kept under ``path``, per batch, so that a repeated batch is judged alike."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        top = _mark(spark, f"{path}/top", batch_id)
+        limit = F.expr(f"window_end + interval {disorder} + interval {lateness}")
+        rows = batch.withColumn("window_end", F.window(ts, size)["end"]).withColumn("__late", F.lit(top) >= F.unix_micros(limit.cast("timestamp")))
+        main(rows.where("not __late").drop("__late"), batch_id)
+        side(rows.where("__late").drop("__late"), batch_id)
+        high = batch.agg(F.max(micros)).first()[0]
+        _set_mark(spark, f"{path}/top", batch_id, max(top, -1 if high is None else high))
+
+    return run
+
+
+def _mark(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """The last value kept under ``path`` (by a batch before ``before``), -1 if there is none."""
+    try:
+        kept = spark.read.schema("value long, of_batch long").parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return -1
+    kept = kept if before is None else kept.where(F.col("of_batch") < before)
+    row = kept.orderBy(F.desc("of_batch")).first()
+    return -1 if row is None else row["value"]
+
+
+def _set_mark(spark: SparkSession, path: str, batch_id: int, value: int) -> None:
+    spark.range(1).select(F.lit(value).cast("long").alias("value"), F.lit(batch_id).cast("long").alias("of_batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: int = 300) -> None:
+    """Run a stream over all that is there now, and stop it after ``timeout`` seconds at the latest."""
+    query: StreamingQuery = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    try:
+        if not query.awaitTermination(timeout):
+            raise TimeoutError(f"the stream did not end in {timeout} s")
+    finally:
+        query.stop()
