@@ -1,0 +1,241 @@
+"""Sample tables with known results."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillflow import functions as X
+from rillflow import sources as S
+from rillflow.operators import aggregates as A
+from rillflow.operators import joins as J
+from rillflow.operators import keyed as K
+from rillflow.operators import lateness as L
+from rillflow.operators import patterns as P
+from rillflow.operators import transform as T
+from rillflow.operators import windows as W
+
+
+def day(hm, d="2020-04-15"):
+    return datetime.fromisoformat(f"{d} {hm}")
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def bid6(spark):
+    data = [("08:05", 4, "C", 1), ("08:07", 2, "A", 1), ("08:09", 5, "D", 2), ("08:11", 3, "B", 2), ("08:13", 1, "E", 1), ("08:17", 6, "F", 2)]
+    return spark.createDataFrame([(day(t), p, i, f"supplier{s}") for t, p, i, s in data], "bidtime timestamp_ntz, price int, item string, supplier string")
+
+
+@pytest.fixture(scope="module")
+def bid9(spark):
+    data = [("08:05", 4, "A", 1), ("08:06", 4, "C", 2), ("08:07", 2, "G", 1), ("08:08", 2, "B", 3), ("08:09", 5, "D", 4), ("08:11", 2, "B", 3), ("08:13", 1, "E", 1), ("08:15", 3, "H", 2), ("08:17", 6, "F", 5)]
+    return spark.createDataFrame([(day(t), p, i, f"supplier{s}") for t, p, i, s in data], "bidtime timestamp_ntz, price int, item string, supplier string")
+
+
+def sums(df):
+    return {(r["window_start"].strftime("%H:%M"), r["window_end"].strftime("%H:%M")): r["s"] for r in df.groupBy("window_start", "window_end").agg(F.sum("price").alias("s")).collect()}
+
+
+def test_tumble(bid6):
+    assert sums(W.tumble(bid6, "bidtime", "10 minutes")) == {("08:00", "08:10"): 11, ("08:10", "08:20"): 10}
+    times = {r["window_time"] for r in W.tumble(bid6, "bidtime", "10 minutes").collect()}
+    assert times == {datetime(2020, 4, 15, 8, 9, 59, 999000), datetime(2020, 4, 15, 8, 19, 59, 999000)}
+
+
+def test_hop(bid6):
+    want = {"08:04": 15, "08:02": 14, "08:00": 11, "07:58": 6, "07:56": 4, "08:06": 11, "08:08": 15, "08:10": 10, "08:12": 7, "08:16": 6, "08:14": 6}
+    assert {s: v for (s, _), v in sums(W.hop(bid6, "bidtime", "10 minutes", "2 minutes")).items()} == want
+
+
+CUMULATED = {("08:00", "08:06"): 4, ("08:00", "08:08"): 6, ("08:00", "08:10"): 11, ("08:10", "08:12"): 3, ("08:10", "08:14"): 4, ("08:10", "08:16"): 4, ("08:10", "08:18"): 10, ("08:10", "08:20"): 10}
+
+
+def test_cumulate(bid6):
+    assert sums(W.cumulate(bid6, "bidtime", "10 minutes", "2 minutes")) == CUMULATED
+    out = W.cumulate_agg(bid6, [], "bidtime", "10 minutes", "2 minutes", {"s": F.col("price")})
+    assert {(r["window_start"].strftime("%H:%M"), r["window_end"].strftime("%H:%M")): r["s"] for r in out.collect()} == CUMULATED
+
+
+def test_top_n(bid9):
+    per = W.tumble(bid9, "bidtime", "10 minutes").groupBy("window_start", "supplier").agg(F.sum("price").alias("s"))
+    top = A.top_n(per, ["window_start"], [F.desc("s"), F.col("supplier")], 3)
+    assert rows(top, "supplier", "s", "rank") == sorted([("supplier1", 6, 1), ("supplier4", 5, 2), ("supplier2", 4, 3), ("supplier5", 6, 1), ("supplier2", 3, 2), ("supplier3", 2, 3)], key=str)
+
+
+@pytest.fixture(scope="module")
+def pair(spark):
+    left = spark.createDataFrame([(day("12:02"), 1, "L1"), (day("12:06"), 2, "L2"), (day("12:03"), 3, "L3")], "row_time timestamp_ntz, num int, id string")
+    right = spark.createDataFrame([(day("12:01"), 2, "R2"), (day("12:04"), 3, "R3"), (day("12:05"), 4, "R4")], "row_time timestamp_ntz, num int, id string")
+    return W.tumble(left, "row_time", "5 minutes").drop("window_time"), W.tumble(right, "row_time", "5 minutes").drop("window_time")
+
+
+def test_window_joins(pair):
+    left, right = pair
+    r = right.select("num", "window_start", "window_end", F.col("id").alias("rid"))
+    full = J.window_join(left, r, ["num"], "full")
+    assert rows(full, "id", "rid") == sorted([("L1", None), (None, "R2"), ("L3", "R3"), ("L2", None), (None, "R4")], key=str)
+    assert rows(left.join(r, ["num", "window_start"], "left_semi"), "id") == [("L3",)]
+    assert rows(J.not_in(left, r, ["window_start"], "num"), "id") == [("L1",), ("L2",)]
+
+
+def test_not_in_with_nulls(spark):
+    left = spark.createDataFrame([(1, 5), (1, None), (2, 7), (3, None)], "k int, v int")
+    right = spark.createDataFrame([(1, 6), (2, None)], "k int, v int")
+    left.createOrReplaceTempView("l_not_in")
+    right.createOrReplaceTempView("r_not_in")
+    want = spark.sql("select k, v from l_not_in l where v not in (select v from r_not_in r where r.k = l.k)")
+    assert rows(J.not_in(left, right, ["k"], "v"), "k", "v") == rows(want) == [(1, 5), (3, None)]
+
+
+def test_interval_joins(spark):
+    o = spark.createDataFrame([("90001", day("12:02", "2022-06-09")), ("90002", day("11:56:06", "2022-06-09"))], "id string, t timestamp_ntz")
+    s = spark.createDataFrame([("90001", day("12:09", "2022-06-09")), ("90002", day("11:50:05", "2022-06-09")), ("90003", day("12:01:20", "2022-06-09")), ("90001", day("13:01", "2022-06-09")), ("90001", day("11:50:56", "2022-07-09"))], "id string, st timestamp_ntz")
+    assert o.join(s, "id").count() == 4 and o.join(s, "id", "left").count() == 4 and o.join(s, "id", "full").count() == 5
+    assert J.interval_join(o, s, ["id"], "t", "st", 0, 600).count() == 1
+    assert J.interval_join(o, s, ["id"], "t", "st", 600, 600).count() == 2
+    a = spark.createDataFrame([("u", day("00:12"))], "user string, t timestamp_ntz")
+    b = spark.createDataFrame([("u", day(f"00:{m:02}"), m) for m in (1, 7, 10, 11, 20, 2, 17)], "user string, bt timestamp_ntz, m int")
+    assert rows(J.interval_join(a, b, ["user"], "t", "bt", 600, 300), "m") == [(10,), (11,), (17,), (2,), (7,)]
+
+
+def test_asof(spark):
+    left = spark.createDataFrame([("EUR", day("10:00"), 1), ("EUR", day("10:05"), 2), ("USD", day("10:00"), 3), (None, day("10:00"), 4)], "cur string, t timestamp_ntz, id int")
+    right = spark.createDataFrame([("EUR", day("10:00"), 114), ("EUR", day("10:04"), 120), ("EUR", day("11:00"), 1), (None, day("09:00"), 9)], "cur string, valid_from timestamp_ntz, rate int")
+    assert rows(J.asof_join(left, right, ["cur"], "t", "valid_from", ["rate"]), "id", "rate") == [(1, 114), (2, 120), (3, None), (4, None)]
+
+
+def test_gate_and_rules(spark):
+    e = spark.createDataFrame([("a", day("10:00"), 1), ("a", day("10:09"), 2), ("a", day("10:10"), 3), ("b", day("10:01"), 4)], "k string, t timestamp_ntz, v int")
+    s = spark.createDataFrame([("a", day("10:00"))], "k string, on timestamp_ntz")
+    assert rows(J.gate(e, s, ["k"], "t", "on", 600), "v") == [(1,), (2,)]
+    r = spark.createDataFrame([("a", day("09:00"), 2), ("a", day("10:09:30"), 3)], "k string, rt timestamp_ntz, rule int")
+    assert rows(J.rule_filter(e, r, ["k"], "t", "rt", "v", "rule"), "v") == [(2,), (3,)]
+    dim = spark.createDataFrame([("a", "x")], "k string, name string")
+    assert rows(J.lookup_join(e, dim, ["k"], {"name": "none"}), "v", "name") == [(1, "x"), (2, "x"), (3, "x"), (4, "none")]
+
+
+def test_patterns(spark):
+    p = spark.createDataFrame([("ACME", day(f"10:00:{i:02}"), v) for i, v in enumerate([12, 17, 19, 21, 25, 18, 15, 14, 24, 25, 19])], "symbol string, t timestamp_ntz, price int")
+    assert rows(P.v_shape(p, ["symbol"], "t", "price"), "start_ts", "bottom_ts", "end_ts") == [(day("10:00:04"), day("10:00:07"), day("10:00:08"))]
+    c = spark.createDataFrame([(1, day("12:00"), "Beijing"), (1, day("12:05"), "Shanghai"), (1, day("12:10"), "Shenzhen"), (1, day("12:20"), "Beijing")], "card int, t timestamp_ntz, place string")
+    assert rows(P.followed_elsewhere(c, ["card"], "t", "place", "10 minutes"), "start_ts", "end_ts") == [(day("12:00"), day("12:05")), (day("12:05"), day("12:10"))]
+    f = spark.createDataFrame([("user-1", "fail", t) for t in (1, 2, 3, 5)] + [("user-2", "fail", 3), ("user-2", "success", 4)], "user string, type string, t int")
+    fail = F.col("type") == "fail"
+    for match in (P.consecutive, P.relaxed_times):
+        assert rows(match(f, ["user"], ["t"], "t", fail), "user", "t1", "t2", "t3") == [("user-1", 1, 2, 3), ("user-1", 2, 3, 5)]
+
+
+def test_rising(spark):
+    v = spark.createDataFrame([("a", day(f"10:00:{s:02}"), x) for s, x in ((0, 1), (1, 2), (2, 3), (3, 3), (4, 5), (5, 6), (6, 7))], "k string, t timestamp_ntz, x int")
+    assert rows(P.rising_alerts(v, ["k"], "t", "x", 1), "alert_ts") == [(day("10:00:02"),), (day("10:00:03"),), (day("10:00:05"),), (day("10:00:06"),)]
+
+
+def arrivals(spark, script):
+    data = [(k, datetime(1970, 1, 1, 0, s // 60, s % 60), i) for i, (k, s) in enumerate(script)]
+    return spark.createDataFrame(data, "k string, t timestamp_ntz, arrival long")
+
+
+def test_lateness(spark):
+    demo = arrivals(spark, [("w", s) for s in (1, 5, 6, 2, 4, 7, 1, 2, 10, 11, 9, 12)])
+    fired = L.refire(demo, ["k"], "t", "arrival", "5 seconds", "1 second", "1 second")
+    assert rows(fired.select(F.second("window_start"), "fire_no", "n")) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (5, 1, 3), (5, 2, 4)]
+    discard = arrivals(spark, [("w", s) for s in (1, 5, 6, 2, 4, 7, 1, 2, 10, 100, 9, 89, 101, 111)])
+    fired = L.refire(discard, ["k"], "t", "arrival", "5 seconds", "0 seconds", "0 seconds")
+    assert [r[2] for r in sorted(fired.select("window_start", "fire_no", "n").collect())] == [1, 3, 1, 2]
+    assert L.refire(discard, ["k"], "t", "arrival", "5 seconds", "0 seconds", "0 seconds", flush=True).count() == 5
+    two = arrivals(spark, [(x[0], int(x[1:])) for x in "q1 q2 q5 q6 a1 a4 a6 a11 q9 q16 a12".split()])
+    side = L.split_late(two, "t", "arrival", "5 seconds", "1 second", "0 seconds").where("side")
+    assert [(r["k"], r["t"].second) for r in side.orderBy("arrival").collect()] == [("a", 1), ("a", 4), ("q", 9), ("a", 12)]
+    assert L.drop_late(two, "t", "arrival", "5 seconds", "1 second").count() == 7
+    flags = {r["arrival"]: r["late"] for r in L.flag_late(demo, "t", "arrival", "1 second").collect()}
+    assert [a for a in sorted(flags) if flags[a]] == [3, 4, 6, 7, 10]
+
+
+def test_aggregates(spark):
+    n = spark.createDataFrame([("a", 1, 0), ("a", 3, 1), ("b", 3, 2), ("b", 4, 3), ("b", 4, 4)], "k string, v int, seq int")
+    run = A.running(n, ["k"], ["seq"], {"s": F.sum("v"), "hi": F.max("v"), "lo": F.min("v")})
+    assert rows(run, "seq", "s", "hi", "lo") == [(0, 1, 1, 1), (1, 4, 3, 1), (2, 3, 3, 3), (3, 7, 4, 3), (4, 11, 4, 3)]
+    assert rows(A.extreme_row(n, ["k"], "v", "seq"), "k", "seq") == [("a", 1), ("b", 3)]
+    assert rows(A.extreme_row(n, ["k"], "v", "seq", False), "k", "seq") == [("a", 0), ("b", 2)]
+    big = spark.range(260).select(F.lit("k").alias("k"), F.col("id").alias("seq"), F.lit(1).alias("v"))
+    assert rows(A.every_n_sum(big, ["k"], ["seq"], F.col("v"), 50), "total") == [(50,)] * 5
+    assert rows(A.every_n_sum(big, ["k"], ["seq"], F.col("v"), 50, drop_nth=True), "total") == [(49,)] * 5
+    assert W.count_tumble(big, ["k"], ["seq"], 100, F.sum("v").alias("s")).count() == 2
+    assert W.count_tumble(big, ["k"], ["seq"], 100, F.sum("v").alias("s"), full_only=False).count() == 3
+    mixed = big.repartition(7)
+    got = {r["seq"]: r["m"] for r in A.block_prefix_max(mixed.withColumn("x", (F.col("seq") * 37) % 101), "seq", "x", "m", 8).collect()}
+    assert got == {i: max(((j * 37) % 101 for j in range(i)), default=None) for i in range(260)}
+
+
+def test_session_and_timer(spark):
+    e = spark.createDataFrame([("a", day(f"10:00:{s:02}")) for s in (0, 5, 9, 15)], "k string, t timestamp_ntz")
+    out = W.session(e, ["k"], "t", "5 seconds", F.count(F.lit(1)).alias("n"))
+    assert rows(out, "n", "window_end") == [(1, day("10:00:20")), (3, day("10:00:14"))]
+    assert rows(W.timer_chain(e, ["k"], "t", 9), "armed", "fired", "n", "m") == [(day("10:00:00"), day("10:00:09"), 2, 2), (day("10:00:09"), day("10:00:18"), 4, 2)]
+
+
+def test_keyed_tables(spark, tmp_path):
+    agg = spark.createDataFrame([(1, 100, 3, 1, 1751640841660), (1, 100, 2, 10, 1751640851660), (1, 101, 10, 2, 1751640951660)], "user int, items int, clicks int, view int, last long")
+    assert rows(K.merge_aggregate(agg, ["user"], ["clicks", "view"], ["last"], ["items"])) == [(1, 15, 13, 1751640951660, [100, 101])]
+    base = spark.createDataFrame([(1, "16", "click", 1)], "id int, hh string, b string, ts int")
+    one = K.upsert(base, spark.createDataFrame([(1, "16", "buy", 2)], base.schema), ["id", "hh"], ["ts"])
+    two = K.upsert(one, spark.createDataFrame([(1, "17", "buy", 3)], base.schema), ["id", "hh"], ["ts"])
+    assert one.count() == 1 and two.count() == 2
+    with pytest.raises(Exception, match="matched by several"):
+        K.merge_into(base, base.unionAll(base), ["id"], {}, {}).collect()
+    rows4 = spark.createDataFrame([(1, "x", 1, None), (2, "y", 1, None), (2, "z", 2, "n"), (3, None, 1, None)], "id int, p string, v int, note string")
+    assert rows(K.delete_where(rows4, F.col("p") == "x"), "id") == [(2,), (2,), (3,)]
+    assert rows(K.partial_update(rows4, ["id"], ["p", "note"], "v")) == [(1, "x", None), (2, "z", "n"), (3, None, None)]
+    bad = spark.createDataFrame([('{"op":"c","after":{"id":1},"ts_ms":5}',), ("{oops",), ('{"op":"d","before":{"id":2},"ts_ms":6}',)], "j string")
+    assert rows(K.parse_cdc(bad, "j", "id int")) == [("c", 5, 1), ("d", 6, 2)]
+    path = f"{tmp_path}/t"
+    K.upsert_write(spark, path, rows4.where("v = 1").na.fill("q"), ["id"], ["v"], "p")
+    K.upsert_write(spark, path, rows4.where("id = 2").na.fill("q").withColumn("p", F.lit("y")), ["id"], ["v"], "p")
+    assert rows(spark.read.parquet(f"{path}/base"), "id", "v") == [(1, 1), (2, 2), (3, 1)]
+    K.upsert_write(spark, path, spark.createDataFrame([(1, "x", 9, "late")], rows4.schema), ["id"], ["v"], "p", mode="delta")
+    assert rows(K.read_merged(spark, path, ["id"], ["v"]), "id", "v") == [(1, 9), (2, 2), (3, 1)]
+
+
+def test_functions(spark):
+    df = spark.createDataFrame([("a#b#c", None)], "s string, n string")
+    assert df.select(X.instr_nth("s", "#", 1, 2), X.instr_nth("s", "#", 1, 3), X.instr_nth("s", "#", 3, 1)).first() == (4, 0, 4)
+    assert df.select(X.total_length(F.col("s"), F.col("n")), X.substring_range(F.col("s"), 2, 5)).first() == (5, "b#c")
+    X.register(spark)
+    assert spark.sql("select substring_range('abcdef', 1, 3)").first()[0] == "bc"
+    assert [r[0] for r in spark.sql("select t.info from values ('x|y') v(s), lateral split_rows(v.s, '|') t").collect()] == ["x", "y"]
+    pages = spark.createDataFrame([("cat_page", "channel_page,goods_page,search_page"), ("detail_page", "search_page")], "f0 string, f1 string")
+    assert pages.select(F.explode(F.split("f1", ","))).count() == 4
+
+
+def test_transform(spark):
+    df = spark.range(10)
+    outs = T.split(df, {"low": F.col("id") < 3, "even": F.col("id") % 2 == 0})
+    assert {k: v.count() for k, v in outs.items()} == {"low": 3, "even": 3, "main": 4}
+    assert T.replicate(df, F.when(F.col("id") == 1, 2).when(F.col("id") == 2, 1)).count() == 3
+    seen, obs = T.observed(df, "rows_in")
+    seen.collect()
+    assert obs.get["rows"] == 10
+    assert T.per_partition(df, lambda: 5, lambda r, b: b + r, "id long").agg(F.sum("id")).first()[0] == 95
+    assert T.shuffled(df, 3).rdd.getNumPartitions() == 3 and T.rescaled(T.rebalanced(df, 4), 2).rdd.getNumPartitions() == 2
+
+
+def test_sources(spark, tmp_path):
+    S.commit(spark, str(tmp_path), ["dt=1", "dt=2"], seen := (lambda p: None))
+    assert (tmp_path / "dt=1" / "_SUCCESS").exists() and seen("x") is None
+    assert S.range_predicates("x", 0, 100, 4) == ["x < 25 or x is null", "x >= 25 and x < 50", "x >= 50 and x < 75", "x >= 75"]
+    assert S.range_predicates("x", 0, 1, 1) == ["true"]
+    spark.range(100).repartition(8).write.parquet(f"{tmp_path}/many")
+    S.compact(spark, f"{tmp_path}/many", f"{tmp_path}/few", 1)
+    assert len(list((tmp_path / "few").glob("part-*"))) == 1 and spark.read.parquet(f"{tmp_path}/few").count() == 100
+    assert S.generated(spark, 5).count() == 5
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
