@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, sharding, tokens, warc
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 N_SHARDS = 16
 
@@ -78,7 +81,3 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
-
-ORACLES = {
-    "op6_warc": None,
-}
