@@ -127,3 +127,20 @@ def socket_source(spark: SparkSession, host: str, port: int) -> DataFrame:
 def generated(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
     """Bounded generated rows: id in sequence and a random value."""
     return spark.range(rows).withColumn("value", F.rand(seed))
+
+
+def write_files(df: DataFrame, path: str, kind: str = "parquet", buckets: list[str] | None = None, max_records: int = 0, mode: str = "append", **options: str) -> None:
+    """Bulk sink: parquet, orc, text, json or avro (needs Spark's Avro package), in files of at most ``max_records`` rows, one set of folders per value of the ``buckets`` columns."""
+    writer = (df.repartition(*buckets) if buckets else df).write.format(kind).mode(mode).options(**options).option("maxRecordsPerFile", max_records)
+    (writer.partitionBy(*buckets) if buckets else writer).save(path)
+
+
+def time_bucket(ts: str, pattern: str = "yyyy-MM-dd--HH") -> Column:
+    """Folder name of a row's time bucket."""
+    return F.date_format(ts, pattern)
+
+
+def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, keys: list[str] | None = None):
+    """Write a stream to a topic as JSON, appended or (with ``keys``) keyed for upserts (needs Spark's Kafka package)."""
+    rows = key_value(df, keys) if keys else df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)

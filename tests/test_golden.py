@@ -234,6 +234,31 @@ def test_sources(spark, tmp_path):
     assert S.generated(spark, 5).count() == 5
 
 
+def test_file_sinks(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("b", S.time_bucket("ts", "yyyy-MM"))
+    for kind in ("parquet", "orc", "json"):
+        S.write_files(e.select("event_id", "b"), f"{tmp_path}/{kind}", kind, ["b"], max_records=100)
+        assert spark.read.format(kind).load(f"{tmp_path}/{kind}").count() == e.count()
+    S.write_files(e.select(F.col("event_id").cast("string")), f"{tmp_path}/text", "text")
+    assert S.read_fields(spark, f"{tmp_path}/text", [("event_id", "bigint")]).count() == e.count()
+    assert S.read_jdbc and S.write_jdbc and S.kafka_source and S.kafka_sink and S.socket_source, "need drivers that aren't here"
+
+
+def test_hive_style_table(spark):
+    spark.sql("drop table if exists orders_by_day")
+    spark.sql("create table orders_by_day (id int, dt string) using parquet partitioned by (dt)")
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, dt string").write.insertInto("orders_by_day")
+    assert spark.table("orders_by_day").where("dt = 'b'").count() == 1
+    assert [r[0] for r in spark.sql("show partitions orders_by_day").collect()] == ["dt=a", "dt=b"]
+    spark.sql("drop table orders_by_day")
+
+
+def test_session():
+    from rillflow.session import builder
+
+    assert builder(shared="/x")._options["spark.checkpoint.dir"] == "/x"
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
