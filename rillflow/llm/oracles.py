@@ -15,7 +15,7 @@ q as (
   select 'own' as level, lang, source, rate, count(*) as total, quantile_disc(bin, 0.25) as q1, quantile_disc(bin, 0.75) as q3 from bins group by all
   union all select 'lang', lang, null, rate, count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) from bins group by lang, rate
   union all select 'all', null, null, rate, count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) from bins group by rate),
-f as (select *, greatest(4 * (q3 - q1), case rate when 'word_chars_k' then 1000 when 'symbols_k' then 100 else 200 end) as gap from q),
+f as (select *, greatest(4 * (q3 - q1), case rate when 'word_chars_k' then 1000 when 'symbols_k' then 100 else 300 end) as gap from q),
 picked as (select o.lang, o.source, o.rate, x.q1, x.q3, x.gap from f o join f l on l.level = 'lang' and l.lang is not distinct from o.lang and l.rate = o.rate join f a on a.level = 'all' and a.rate = o.rate
   join f x on x.rate = o.rate and x.level = case when o.total >= 200 then 'own' when l.total >= 200 then 'lang' else 'all' end and (x.level = 'all' or x.lang is not distinct from o.lang) and (x.level <> 'own' or x.source is not distinct from o.source) where o.level = 'own'),
 bad as (select distinct r.doc_id from r join picked p on p.rate = r.rate and p.lang is not distinct from r.lang and p.source is not distinct from r.source where r.v > p.q3 + p.gap or (r.rate = 'word_chars_k' and r.v < greatest(p.q1 - p.gap, 0)))

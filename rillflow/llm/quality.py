@@ -13,8 +13,8 @@ from .common import BLANKS, words, written
 RATES = {
     "word_chars_k": ("1000 * word_chars / n_words", 1000, True),
     "symbols_k": ("1000 * n_symbols / n_words", 100, False),
-    "dup_lines_k": ("1000 * n_dup_lines / n_lines", 200, False),
-    "repeats_k": ("1000 * n_repeat_words / n_words", 200, False),
+    "dup_lines_k": ("1000 * n_dup_lines / n_lines", 300, False),
+    "repeats_k": ("1000 * n_repeat_words / n_words", 300, False),
 }
 
 
