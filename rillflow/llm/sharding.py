@@ -48,7 +48,7 @@ def communication_matrix(counts: DataFrame, sizes: list[int], levels: int, seed:
     return node.select("block", F.col("places").alias("sent"))
 
 
-def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_block: int = 65536, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_block: int = 16384, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of ``docs`` with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard): a uniform shuffle whose shard sizes differ by one at most.
 
     Rows are dealt into blocks by a hash of ``key``; a narrow job counts the blocks, ``communication_matrix`` fixes how many
