@@ -106,3 +106,9 @@ def upsert_write(spark: SparkSession, path: str, rows: DataFrame, keys: list[str
 def read_merged(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> DataFrame:
     """Base and deltas of a table as one state."""
     return upsert(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/delta"), keys, version)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a table with their sizes and times, newest first: its history as far as files tell."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select("path", "length", "modificationTime").orderBy(F.desc("modificationTime"), "path")

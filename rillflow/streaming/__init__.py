@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import keyed
+from ..operators.joins import lookup_join
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFrame:
@@ -182,6 +184,11 @@ def late_split(path: str, ts: str, size: str, disorder: str, lateness: str, main
     return run
 
 
+def lookup(dimension: Callable[[SparkSession], DataFrame], keys: list[str], defaults: dict[str, object], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Each batch joined to a dimension that is read anew for it, with ``defaults`` where a row is missing."""
+    return lambda batch, batch_id: write(lookup_join(batch, dimension(batch.sparkSession), keys, defaults), batch_id)
+
+
 def _mark(spark: SparkSession, path: str, before: int | None = None) -> int:
     """The last value kept under ``path`` (by a batch before ``before``), -1 if there is none."""
     try:
@@ -199,8 +206,17 @@ def _set_mark(spark: SparkSession, path: str, batch_id: int, value: int) -> None
     spark.range(1).select(F.lit(value).cast("long").alias("value"), F.lit(batch_id).cast("long").alias("of_batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: int = 300) -> None:
-    """Run a stream over all that is there now, and stop it after ``timeout`` seconds at the latest."""
+def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: int = 300, attempts: int = 1) -> None:
+    """Run a stream over all that is there now, and stop it after ``timeout`` seconds at the latest; after a failure it resumes from its checkpoint, ``attempts`` times in all."""
+    for attempt in range(attempts):
+        try:
+            return _run_once(df, checkpoint, sink, mode, timeout)
+        except StreamingQueryException:
+            if attempt + 1 == attempts:
+                raise
+
+
+def _run_once(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str, timeout: int) -> None:
     query: StreamingQuery = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     try:
         if not query.awaitTermination(timeout):

@@ -88,3 +88,26 @@ def test_late_split(spark, sf, tmp_path):
     streaming.run_available(stream, f"{tmp_path}/cp", streaming.late_split(f"{tmp_path}/s", "ts", "1 hour", "1 minute", "10 minutes", streaming.appended(f"{tmp_path}/main"), streaming.appended(f"{tmp_path}/side")))
     assert {r["event_id"] for r in back(spark, f"{tmp_path}/main").collect()} == {1, 3}
     assert {r["event_id"] for r in back(spark, f"{tmp_path}/side").collect()} == {2}
+
+
+def test_lookup_restart_and_rank(spark, sf, tmp_path):
+    rows = files(spark, sf, f"{tmp_path}/in", 2)
+    stream = sources.file_source(spark, f"{tmp_path}/in", SCHEMA, "parquet", 1)
+    dim = lambda s: s.createDataFrame([("view", "seen")], "event_type string, label string")
+    failed = []
+    good = streaming.lookup(dim, ["event_type"], {"label": "other"}, streaming.appended(f"{tmp_path}/out"))
+
+    def flaky(batch, batch_id):
+        if batch_id == 1 and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        good(batch, batch_id)
+
+    streaming.run_available(stream, f"{tmp_path}/cp", flaky, attempts=2)
+    out = back(spark, f"{tmp_path}/out")
+    assert failed and out.count() == rows.count()
+    assert out.where("label = 'seen'").count() == rows.where("event_type = 'view'").count()
+    agg = streaming.window_agg(streaming.watermarked(stream, "ts", "1 hour"), ["user_id"], "ts", "1 day", F.count(F.lit(1)).alias("n"))
+    streaming.run_available(agg, f"{tmp_path}/cp2", streaming.ranked(["window_start"], [F.desc("n"), F.col("user_id")], 3, streaming.appended(f"{tmp_path}/top")), mode="update")
+    assert back(spark, f"{tmp_path}/top").where("rank > 3").count() == 0
+    assert keyed.history(spark, f"{tmp_path}/out").count() >= 2
