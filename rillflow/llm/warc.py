@@ -23,7 +23,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     least ``least_bytes`` bytes, the one with the largest page_id (of tied rows any one) is a response and the
     others revisit it; smaller ones are all responses. A null html is an empty payload, a null url an empty
     target; page_id may be null (smallest) or repeated; other columns are ignored. Groups are found by grouped maxima and
-    a join of narrow rows, which splits where one payload has a large share of them; each payload is shuffled once at most.
+    a join of narrow rows, which splits where one payload has a large share of them; payloads are reduced to one of each kind in every partition, and then shuffled once.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = written(pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("rid"), F.sha2(payload, 256).alias("sha256"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes")))
@@ -44,10 +44,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     ]
     header = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
     joined.select("page_id", "rid", F.encode(header, "UTF-8").alias("header"), "sha256").write.parquet(f"{path}/headers")
-    named = pages.select("page_id", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    owners = groups.select(F.col("owner_page").alias("page_id"), "sha256")
-    held = named.join(owners, [named["page_id"].eqNullSafe(owners["page_id"]), named["sha256"] == owners["sha256"]], "left_semi")
-    held.dropDuplicates(["sha256"]).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    named = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload"))
+    named.groupBy("sha256").agg(F.min("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
