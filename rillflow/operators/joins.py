@@ -36,7 +36,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: s
     """Each left row with ``values`` of the right row of its key that has the greatest rt <= lt, else nulls.
 
     One shuffle on the keys: both sides in one table, in time order with right rows first, and the last right row carried forward.
-    Of right rows with one time, the one greatest by ``values`` counts. Rows with a null key or time match nothing.
+    Of right rows with one time, the one greatest by ``values`` counts. Rows with a null key or time match nothing. A key's rows pass
+    through one task, sorted on disk if need be and read once, never held together.
     """
     names = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__l"), F.lit(None).alias("__r"))  # noqa: E741

@@ -207,6 +207,7 @@ def test_functions(spark):
     X.register(spark)
     assert spark.sql("select substring_range('abcdef', 1, 3)").first()[0] == "bc"
     assert [r[0] for r in spark.sql("select t.info from values ('x|y') v(s), lateral split_rows(v.s, '|') t").collect()] == ["x", "y"]
+    assert spark.sql("select count_all(v) from values (1D), (null), (2D) t(v)").first()[0] == 3
     pages = spark.createDataFrame([("cat_page", "channel_page,goods_page,search_page"), ("detail_page", "search_page")], "f0 string, f1 string")
     assert pages.select(F.explode(F.split("f1", ","))).count() == 4
 
