@@ -114,4 +114,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     if order.isEmpty():
         return order.select(F.col("id").alias(id_col), F.col("ordinal").alias("n_tokens"))
     counts = scan_token_files(docs.sparkSession, folder)
-    return order.join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
