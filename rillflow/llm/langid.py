@@ -51,13 +51,14 @@ def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_DOCS) -> TextModel:
     """Fit the text model on about ``per_language`` whole texts of each label, counted in tasks and summed by language and bucket; the table of sums, MAX_LANGUAGES * BUCKETS at most, comes to the driver."""
-    rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    whole = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])  # of the row, so that copies of a text are picked one by one
+    rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), whole.alias("row")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     names = sorted(sizes)
     if not names:
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")]
-    picked = rows.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    picked = rows.where(F.col("lang").isin(names)).where(F.pmod("row", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), BUCKETS), np.int64)
