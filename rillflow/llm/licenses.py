@@ -43,20 +43,34 @@ def _prepared(templates: dict[str, str], bands: int) -> list[tuple]:
     params, out = _hash_params(bands), []
     for name, text in templates.items():
         for _, _, data, off in textvec.chunks(pa.array([text])):
-            own = np.unique(textvec.shingles(*textvec.word_hashes(data, off))[0])
+            own = np.unique(textvec.shingles(*textvec.word_hashes(data, off, bare=True))[0])
             if len(own):
                 out.append((name, int(len(own) - 1).bit_length(), own, _signature(own, params)))
     return out
 
 
+def _rivals(prepared: list[tuple], least: float) -> dict[str, list[tuple]]:
+    """(name, shingle set) of the siblings of each template: those that hold ``least`` of its shingles and have ``least`` of theirs in it, as other versions of one notice do."""
+    out: dict[str, list[tuple]] = {}
+    for a, _, x, _ in prepared:
+        for b, _, y, _ in prepared:
+            if a != b and len(np.intersect1d(x, y, assume_unique=True)) >= least * max(len(x), len(y)):
+                out.setdefault(a, []).append((b, y))
+    return out
+
+
 def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Which texts hold which license template: (id, template, start, n_words, containment), the best window for each document and template.
+    """Which texts hold which license template: (id, template, start, n_words, containment, rival), the best window for each document and template.
 
     For a template of at most w = 2**c five-word shingles (A-Z folded), texts are seen in windows of 2w shingles, each w after the last, so every passage of that
     length lies in one window. A window with containment 0.75 has a Jaccard similarity of at least 0.17 to its template, and collides
     in one of 64 bands of one MinHash value with probability above 1 - 1e-5. Retrieved templates are then verified by exact containment: the share of the template's shingles in the
     window. A window without any shingle of a template of its class can't collide and gets no signature; this is known from one look-up a shingle.
 
+    Words count without punctuation at their ends, and those of punctuation only don't count. Templates that differ in a few words (versions of one
+    notice) are all found at one place; ``rival`` names the one that holds more of its shingles there, and is null where the template itself
+    is unbeaten. A window without rival goes before others, so a document that holds both notices has both without rival.
+
     Whole texts are read in one pass without a shuffle. The templates are a parameter that goes to every task; they are
     license texts, thousands at most. Null and short texts have no hits; equal rows have a result each; other columns are ignored.
     """
@@ -70,6 +84,15 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, least
     bits = np.zeros(1 << 16, bool)
     bits[(every & np.uint64(0xFFFF)).astype(np.int64)] = True
     kind = dict(docs.dtypes)[id_col]
+    siblings = _rivals(prepared, least)
+
+    def rival(own: np.ndarray, start: int, w: int, name: str, shingle_set: np.ndarray) -> str | None:
+        if name not in siblings:
+            return None
+        near = np.unique(own[max(start - w, 0) : start + 3 * w])
+        held = lambda x: len(np.intersect1d(near, x, assume_unique=True)) / len(x)
+        other, better = max(((held(x), n) for n, x in siblings[name]))[::-1]
+        return other if better > held(shingle_set) else None
 
     def scanned(own: np.ndarray, spots: np.ndarray) -> dict[str, tuple]:
         best: dict[str, tuple] = {}
@@ -84,8 +107,11 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, least
                 for name, _, shingle_set, wanted in ts:
                     if (sig == wanted).any():
                         share = len(np.intersect1d(part, shingle_set, assume_unique=True)) / len(shingle_set)
-                        found = (share, -int(block * w), -min(2 * w, len(own) - int(block) * w))
-                        if share >= least and found > best.get(name, (0,)):
+                        if share < least:
+                            continue
+                        other = rival(own, int(block * w), w, name, shingle_set)
+                        found = (other is None, share, -int(block * w), -min(2 * w, len(own) - int(block) * w), other)
+                        if name not in best or found[:4] > best[name][:4]:
                             best[name] = found
         return best
 
@@ -93,17 +119,17 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, least
         for batch in batches:
             at, rows = [], []
             for i, _, data, off in textvec.chunks(batch.column(1)):
-                sh, to = textvec.shingles(*textvec.word_hashes(data, off))
+                sh, to = textvec.shingles(*textvec.word_hashes(data, off, bare=True))
                 spots = np.flatnonzero(bits[(sh & np.uint64(0xFFFF)).astype(np.int64)])
                 spots = spots[np.isin(sh[spots], every)]
                 owner = np.searchsorted(to, spots, "right") - 1
                 for d in np.unique(owner):
-                    for name, (share, start, n) in sorted(scanned(sh[to[d] : to[d + 1]], spots[owner == d] - to[d]).items()):
+                    for name, (_, share, start, n, other) in sorted(scanned(sh[to[d] : to[d + 1]], spots[owner == d] - to[d]).items()):
                         at.append(i + int(d))
-                        rows.append((name, -start, -n + 4, share))
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
+                        rows.append((name, -start, -n + 4, share, other))
+            cols = list(zip(*rows)) if rows else [[], [], [], [], []]
             ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], ["id", "template", "start", "n_words", "containment"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.string())], ["id", "template", "start", "n_words", "containment", "rival"])
 
-    found = docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, template string, start long, n_words long, containment double")
+    found = docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, template string, start long, n_words long, containment double, rival string")
     return found.withColumnRenamed("id", id_col)

@@ -15,6 +15,8 @@ _FOLDED = _CODE.copy()
 _FOLDED[65:91] = _CODE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MARK = np.zeros(256, bool)  # ASCII punctuation
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,8 +57,21 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and where each text's words begin (one more entry than texts)."""
+def _bare(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words from ``s`` to ``e`` without ASCII marks and U+2000 to U+203F (dashes, quotes) at their ends; those with nothing else are left out."""
+    inner = ~(_MARK | _BLANK)[data]
+    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+    for j in range(3):
+        inner[at + j] = False
+    place = np.flatnonzero(inner)
+    upto = np.concatenate([[0], np.cumsum(inner)])
+    lo, hi = upto[s], upto[e]
+    some = hi > lo
+    return place[lo[some]], place[hi[some] - 1] + 1
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, folded: bool = True, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (``bare``: without punctuation at its ends), and where each text's words begin (one more entry than texts)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
@@ -69,6 +84,8 @@ def word_hashes(data: np.ndarray, off: np.ndarray, folded: bool = True) -> tuple
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:n]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    if bare:
+        s, e = _bare(data, s, e)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if folded else _CODE)[data] * _UP[:n], dtype=np.uint64, out=total[1:])
     return mix((total[e] - total[s]) * _DOWN[s] + (e - s).astype(np.uint64)), np.searchsorted(s, off)

@@ -124,3 +124,26 @@ def test_license_planted(spark):
     got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.license_hits(df).collect()}
     assert got == brute_licenses(docs, licenses.TEMPLATES)
     assert licenses.license_hits(df, {}).count() == 0 and licenses.license_hits(df.limit(0)).count() == 0
+
+
+def test_license_lines_of_the_corpus(spark):
+    """The lines are found by regular expression, not by the templates."""
+    docs = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    lines = {"Apache-2.0 line": r"Apache License,? Version 2", "GPL-3.0 line": r"General Public License,? version 3", "GPL-2.0 line": r"General Public License,? version 2", "MIT line": r"under the MIT License", "CC-BY-NC-4.0 line": r"under CC BY-NC 4"}
+    want = {(d, name) for d, t in docs for name, line in lines.items() if re.search(line, t or "")}
+    rows = QUERIES["op7_license_scan"](spark, "/root/testdata/sf0.01").collect()
+    assert {n for _, n in want} >= {"Apache-2.0 line", "GPL-3.0 line"}
+    assert {(r["doc_id"], r["template"]) for r in rows if r["rival"] is None} == want
+
+
+def test_license_punctuation_and_versions(spark):
+    gpl = "This work is licensed under the GNU General Public License, version"
+    pad = " ".join(f"p{i}" for i in range(200))
+    texts = [f'# "Licensed under the Apache License - Version 2.0!', "(Released under the \u201cMIT\u201d License);", f"{gpl} 2.", f"{gpl} 3,", f"{gpl} 2. {pad} {gpl} 3."]
+    texts += [" ".join(f"q{i}" for i in range(n)) + f" {gpl} 3. {pad}" for n in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in licenses.license_hits(df).where("rival is null").collect():
+        got.setdefault(r["doc_id"], set()).add(r["template"])
+    want = [{"Apache-2.0 line"}, {"MIT line"}, {"GPL-2.0 line"}, {"GPL-3.0 line"}, {"GPL-2.0 line", "GPL-3.0 line"}] + [{"GPL-3.0 line"}] * 20
+    assert got == dict(enumerate(want))
