@@ -49,14 +49,29 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def starts(least: float) -> Column:
+    """All starts of windows with enough hits, from columns len (words of the text), k, n (words of the item) and at (sorted places of hits).
+
+    A window of a shingles and an item of b need least * (a + b) / (1 + least) common ones. Windows whose first hit is the i-th begin after the hit before it, and late enough to
+    reach the last hit they need; so each hit gives one interval of starts, and the intervals are disjoint.
+    """
+    a = F.least("n", "len") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.ceil((a + F.col("n") - F.col("k") + 1) * (least / (1 + least)) - 1e-9)).cast("int")
+    hits = F.arrays_zip(F.col("at").alias("first"), F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1)).alias("before"), F.slice("at", need, F.lit(2**30)).alias("last"))
+    low = lambda h: F.greatest(h["before"] + 1, h["last"] - a + 1)
+    high = lambda h: F.least(h["first"], F.greatest(F.col("len") - F.col("n"), F.lit(0)))
+    some = F.filter(hits, lambda h: h["last"].isNotNull() & (low(h) <= high(h)))
+    return F.flatten(F.transform(some, lambda h: F.sequence(low(h), high(h))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item: id, text_hash, item_id, start (word), n_words, distance (bits), similarity; one row, its best window, for each document and item.
 
     A window of a document is as many words long as the item; the two match if the weighted Jaccard similarity of their
     k-word shingles (A-Z folded; an item of fewer than k words is one shingle) is ``least`` or more.
 
-    1. Only windows that share a shingle with some item, in the place it has there, are looked at; others on the same
-       text share less. Item shingles are broadcast up to BROADCAST_ROWS, else joined by a shuffle.
+    1. All windows are looked at that hold as many shingles of items of their size, at any place and in any order, as a similarity of ``least`` takes;
+       no other window can reach it. Item shingles are broadcast up to BROADCAST_ROWS, else joined by a shuffle.
     2. Each such window and each item gets a SimHash. Windows of one size and fingerprint are one entry of the index, which finds all
        items of that size within RADIUS bits, as such pairs agree on a block. At similarity 0.75 a fingerprint strays further with probability below 1e-4.
     3. The similarity of each candidate is computed in full.
@@ -75,9 +90,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
         part = _runs(items.where(F.col("k") == j), "hw", j, "sh")
         one = part if one is None else one.unionByName(part)
     items = written(fingerprint(one.drop("hw"), "sh", "fp"))
-    places = written(items.select("k", "n", F.posexplode("sh").alias("q", "h")).distinct())
-    known = written(places.select("k", "h").distinct())
-    small = known.count() <= BROADCAST_ROWS
+    sizes = written(items.select("k", "n", F.explode("sh").alias("h")).distinct())
+    known = written(sizes.select("k", "h").distinct())
+    small = sizes.count() <= BROADCAST_ROWS
     held = lambda df: F.broadcast(df) if small else df
 
     base = docs.select(*key, hashes(text).alias("hw")).withColumn("len", F.size("hw"))
@@ -85,9 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     for j in sized:
         part = _runs(base, "hw", j, "sh").select("id", "text_hash", "len", F.posexplode("sh").alias("p", "h")).join(held(known.where(F.col("k") == j).select("h")), "h", "left_semi").withColumn("k", F.lit(j))
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.join(held(places), ["k", "h"])
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n")))
-    spots = hits.select("id", "text_hash", "k", "n", start.alias("start")).distinct().groupBy("id", "text_hash").agg(F.collect_list(F.struct("k", "n", "start")).alias("spots"))
+    hits = hits.join(held(sizes), ["k", "h"]).groupBy("id", "text_hash", "len", "k", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    spots = hits.withColumn("start", F.explode(starts(least))).groupBy("id", "text_hash").agg(F.collect_list(F.struct("k", "n", "start")).alias("spots"))
     spots = written(spots.withColumnsRenamed({"id": "s_id", "text_hash": "s_hash"}))
 
     texts = docs.select(*key, F.col(text).alias("t"))

@@ -112,3 +112,19 @@ def test_fingerprint(spark):
             if 2 * sum((x >> b) & 1 for x in s) > len(s):
                 want[tuple(s)] |= 1 << b
     assert all(r["fp"] % (1 << 64) == want[tuple(r["sh"])] for r in rows)
+
+
+def test_moved_parts(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([80, 80, 80, 50, 7])]
+    docs = []
+    for i, t in items[:4]:
+        w = tokens(t)
+        for moved in (12, 16, 20, 24, 40):
+            docs.append((len(docs), " ".join([word() for _ in range(rng.randrange(90))] + w[moved:] + w[:moved] + [word() for _ in range(rng.randrange(90))])))
+            docs.append((len(docs), " ".join(w[moved:] + w[:moved])))
+    docs += [(900, items[4][1]), (901, " ".join(tokens(items[0][1])[2:70]))]
+    want = brute(docs, items)
+    assert {d for d, _ in want} == {d for d, _ in docs}
+    assert got(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
