@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -15,7 +15,6 @@ from .common import written
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 2000  #: labelled texts per language that the text model is fitted on, about (picked by hash); all that there are, where fewer
-MAX_LANGUAGES = 64  #: languages of the model, the most frequent labels
 GRAMS = 100  #: a text counts as so many independent trigrams at most
 PRIOR_WEIGHT = 5.0  #: rows that a wider level of the prior weighs as
 SMOOTH = 0.5
@@ -49,26 +48,30 @@ def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), np.searchsorted(off, at, "right") - 1
 
 
+def label_of(c: Column) -> Column:
+    """A language label as the model and the declared language have it: in lower case, up to the first hyphen, underscore or blank ('en-US' is 'en'); empty where there is none."""
+    return F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), r"^\s*([^-_\s]+)", 1)
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_DOCS) -> TextModel:
-    """Fit the text model on about ``per_language`` whole texts of each label, counted in tasks and summed by language and bucket; the table of sums, MAX_LANGUAGES * BUCKETS at most, comes to the driver."""
+    """Fit the text model on about ``per_language`` whole texts of each label, counted in tasks and summed by language and bucket; all labels count (see ``label_of``); the table of sums, BUCKETS a language at most, comes to the driver."""
     whole = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])  # of the row, so that copies of a text are picked one by one
-    rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), whole.alias("row")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = docs.select(label_of(F.col(label)).alias("lang"), F.col(text).alias("text"), whole.alias("row")).where("lang <> '' and text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
+    place = {x: i for i, x in enumerate(names)}
     if not names:
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")]
-    picked = rows.where(F.col("lang").isin(names)).where(F.pmod("row", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    picked = rows.where(F.pmod("row", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
-            of = np.array([names.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            of = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
             for i, _, data, off in textvec.chunks(batch.column(1)):
                 bucket, doc = _grams(data, off)
-                total += np.bincount(of[i + doc] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["k", "b", "n"])
+                cell, n = np.unique(of[i + doc] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // BUCKETS), pa.array(cell % BUCKETS), pa.array(n)], ["k", "b", "n"])
 
     total = np.full((len(names), BUCKETS), SMOOTH)
     for r in picked.mapInArrow(counted, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -119,7 +122,7 @@ def fused(rows: DataFrame, model: TextModel, id_col: str, text: str) -> DataFram
     The posterior of a language is proportional to P(text) * P(declared) * P(suffix) * prior of the host. P(text) is the trigram model. The channels
     P(declared | language) and P(suffix | language) and the priors are grouped sums of the text posteriors over all rows. A host's prior is smoothed to its domain's, and that
     to the whole table's, each as if by PRIOR_WEIGHT more rows; a row's own share is taken out of its host's and domain's sums.
-    Declared and suffix have three letters at most, so their tables have a bounded size; host sums are joined by their known size, in parts where one host is large.
+    Tables of the channels and host sums are joined by their known size, in parts where one host is large.
     An empty or missing value is an ordinary value of its channel. Without any language in the model lang is null.
     """
     k = len(model.languages)
@@ -136,8 +139,8 @@ def fused(rows: DataFrame, model: TextModel, id_col: str, text: str) -> DataFram
     vector = F.array(*[F.col(f"p{i}") for i in range(k)])
 
     def channel(name: str) -> DataFrame:
-        t = seen.groupBy(name).agg(*sums)
-        seen_values = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+        t = written(seen.groupBy(name).agg(*sums))
+        seen_values = t.count()
         return written(t.select(F.col(name).alias(f"c_{name}"), F.transform(vector, lambda x, i: F.log((x + SMOOTH) / (F.element_at(F.array(*[F.lit(v) for v in total]), i + 1) + SMOOTH * seen_values))).alias(f"log_{name}")))
 
     hosts = seen.groupBy("host", "domain").agg(*sums)
@@ -147,7 +150,7 @@ def fused(rows: DataFrame, model: TextModel, id_col: str, text: str) -> DataFram
     out = seen.join(hosts, (F.col("host") == F.col("h")) & (F.col("domain") == F.col("d")))
     for name in ("declared", "suffix"):
         c = channel(name)
-        out = out.join(F.broadcast(c), F.col(name) == F.col(f"c_{name}"))
+        out = out.join(c, F.col(name) == F.col(f"c_{name}"))
     m = PRIOR_WEIGHT
     less = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
     out = out.withColumns({"host_p": less("host_p", "p"), "domain_p": less("domain_p", "p")})
@@ -168,5 +171,5 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Language of each document (doc_id, text, lang, source), with the source as host and lang as the declared language; adds text_hash."""
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), F.col("source").alias("host"), F.lit("").alias("domain"), F.regexp_extract(F.lower(F.coalesce("lang", F.lit(""))), "^[a-z]{2,3}", 0).alias("declared"), F.lit("").alias("suffix"), "text")
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), F.col("source").alias("host"), F.lit("").alias("domain"), label_of(F.col("lang")).alias("declared"), F.lit("").alias("suffix"), "text")
     return fused(rows, model, "key", "text").select("key.doc_id", "key.text_hash", *[c for c in ("declared", "grams", "lang", "confidence", "text_lang")])

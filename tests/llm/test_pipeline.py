@@ -80,3 +80,18 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 100
+
+
+def test_language_keeps_all_labels(spark):
+    """Seventy languages, and labels with a region, in capitals or spelled out."""
+    rng = random.Random(6)
+    names = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"]
+    labels = {"aa": ["aa", "aa-US", "AA", "aa_GB"], "bb": ["bbnese"]}
+    rows = []
+    for name in names:
+        own = [chr(0x4E00 + rng.randrange(20000)) for _ in range(8)]
+        for i in range(4):
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(40)), labels.get(name, [name])[i % len(labels.get(name, [name]))], "s", 0))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = rows_of(corpus_pipeline.language(spark, docs, ""))
+    assert sorted(r[0] for r in kept) == [r[0] for r in rows]
