@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,9 +40,8 @@ def of_type(df: DataFrame, kind: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which a cluster's executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/rillflow/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return shared_folder(spark)
 
 
 #: SQL for the events with ``value`` as an exact decimal, and for an epoch-aligned window start.

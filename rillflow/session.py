@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,18 @@ def builder(name: str = "rillflow", shared: str | None = None) -> SparkSession.B
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     return b.config("spark.checkpoint.dir", shared) if shared else b
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path under the folder that driver and executors share: ``spark.checkpoint.dir``, or else the one given by ``SparkContext.setCheckpointDir``.
+
+    Where neither is set, a local session gets a temporary one, and any other master is an error, as executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="rillflow-")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/rillflow/{uuid.uuid4().hex}"
