@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Java regular expression of one word, and of what stands between two.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
@@ -20,13 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local temporary one is set only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rillflow-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rillflow/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share (see ``session.shared_folder``); ``release`` removes it."""
+    path = shared_folder(spark)
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -36,6 +36,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def made() -> int:
+    """How many shared folders this process has made and not removed."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the shared folders made since ``made()`` was ``since``, but for the last ``keep``. Call it when no lazy result needs them any more."""
+    upto = len(_made) - keep
+    for path in _made[since:upto]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _made[since:upto]
+
+
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that clash with none of ``taken``."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; no element where there is no word or no text."""
     bare = F.btrim(text, F.lit(BLANKS))
@@ -43,9 +69,9 @@ def words(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """A-Z in lower case, all else unchanged."""
+    """A-Z in lower case, all else unchanged. A text in ASCII alone takes the faster way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,12 +37,14 @@ def brute(docs, items, least=0.75):
                 b = bag(dw[s : s + len(w)], k)
                 sim = sum((own & b).values()) / sum((own | b).values())
                 if sim >= least:
-                    out[d, i] = max(out.get((d, i), 0), sim)
+                    out[d, i] = max(out.get((d, i), (0, 0)), (sim, -s, len(w)))
     return out
 
 
 def got(df):
-    return {(r["doc_id"], r["item_id"]): r["similarity"] for r in df.collect()}
+    rows = df.collect()
+    assert all(0 <= r["distance"] <= decontaminate.RADIUS and (r["distance"] == 0 or r["similarity"] < 1) for r in rows)
+    return {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"], r["n_words"]) for r in rows}
 
 
 def test_query(spark, sf):
@@ -74,7 +76,7 @@ def test_planted(spark):
     df = spark.createDataFrame([(*r, "x", 0, 0) for r in docs], "doc_id long, text string, item_id string, n int, k int")
     res = got(decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")))
     assert res == brute(docs, items)
-    assert any(v < 1 for v in res.values())
+    assert any(v[0] < 1 for v in res.values())
 
 
 def test_odd_tables(spark):
@@ -85,33 +87,45 @@ def test_odd_tables(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
-def test_every_fingerprint_in_radius_shares_a_block(spark):
+def test_every_fingerprint_in_radius_is_found(spark):
+    """Pairs at the radius, in all kinds of spread over the blocks; of random pairs the index meets few and returns those within the radius."""
     rng = random.Random(9)
-    rows = []
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), decontaminate.RADIUS):
-            b ^= 1 << bit
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    bits, n = 64 * decontaminate.WORDS, 300
+    words = lambda x: [(x >> (64 * i)) % (1 << 64) - ((x >> (64 * i + 63)) % 2 << 64) for i in range(decontaminate.WORDS)]
+    a = [rng.getrandbits(bits) for _ in range(n)]
+    flips = [rng.sample(range(bits), decontaminate.RADIUS) for _ in range(n // 2)] + [[b + 16 * i for b in range(12) for i in range(4)][: decontaminate.RADIUS] for _ in range(n // 2)]
+    b = [x ^ sum(1 << i for i in f) for x, f in zip(a, flips)]
+    left = spark.createDataFrame([(9, words(x)) for x in a], "n int, fp array<long>")
+    right = spark.createDataFrame([(9, words(x)) for x in b] + [(8, words(x)) for x in a], "n int, i_fp array<long>")
+    got = {(tuple(r["fp"]), tuple(r["i_fp"])): r["distance"] for r in decontaminate.near_pairs(left, right).collect()}
+    want = {(tuple(words(x)), tuple(words(y))): (x ^ y).bit_count() for x in a for y in b if (x ^ y).bit_count() <= decontaminate.RADIUS}
+    assert len(want) >= n and got == want
+
+
+def test_index_is_selective(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame(rows, "a long, b long")
-    assert df.where(F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")))).count() == 300
+    rng = random.Random(4)
+    one = lambda name: spark.createDataFrame([(9, [rng.getrandbits(64) - (1 << 63) for _ in range(decontaminate.WORDS)]) for _ in range(400)], f"n int, {name} array<long>")
+    left = one("fp").withColumn("b", F.explode(decontaminate.blocks("fp"))).select("fp", "b.*")
+    right = one("i_fp").withColumn("b", F.explode(decontaminate.near_blocks("i_fp", decontaminate.RADIUS))).select("i_fp", "b.*")
+    met = left.join(right, ["block", "value"]).select("fp", "i_fp").distinct().count()
+    assert 0 < met < 0.15 * 400 * 400
 
 
 def test_fingerprint(spark):
-    rng = random.Random(1)
-    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 40)]
-    from pyspark.sql import functions as F  # noqa: F401
+    """Against hashes that Spark computes: the majority of each bit, also in a bag of more than 32,767."""
+    from pyspark.sql import functions as F
 
-    rows = decontaminate.fingerprint(spark.createDataFrame([(s,) for s in sets], "sh array<long>"), "sh", "fp").collect()
-    want = defaultdict(int)
-    for s in sets:
-        for b in range(64):
-            if 2 * sum((x >> b) & 1 for x in s) > len(s):
-                want[tuple(s)] |= 1 << b
-    assert all(r["fp"] % (1 << 64) == want[tuple(r["sh"])] for r in rows)
+    rng = random.Random(1)
+    bags = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 40, 40_000)]
+    df = spark.createDataFrame([(s,) for s in bags], "sh array<long>").withColumn("fp", decontaminate.fingerprint("sh"))
+    hashed = lambda seed: F.transform("sh", lambda x: F.xxhash64(x, F.lit(seed))).alias(f"h{seed}")
+    own = [hashed(seed) for seed in range(decontaminate.WORDS)]
+    for r in df.select("sh", "fp", *own).collect():
+        for seed in range(decontaminate.WORDS):
+            ones = Counter(b for x in r[f"h{seed}"] for b in range(64) if x >> b & 1)
+            assert r["fp"][seed] % (1 << 64) == sum(1 << b for b in range(64) if 2 * ones[b] > len(r["sh"]))
 
 
 def test_moved_parts(spark):
@@ -128,3 +142,33 @@ def test_moved_parts(spark):
     want = brute(docs, items)
     assert {d for d, _ in want} == {d for d, _ in docs}
     assert got(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
+
+
+def test_swapped_inserted_and_very_long(spark):
+    """Halves swapped inside other words, words put in, and a text of 80,000 words with an item at its end."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(9000)}"
+    item = [word() for _ in range(40)]
+    around = lambda w, n=100: " ".join([word() for _ in range(n)] + w + [word() for _ in range(n)])
+    docs = [(1, around(item[20:] + item[:20])), (2, around(item[:30] + ["new"] + item[30:])), (3, around(item[:10] + ["a"] + item[10:])), (4, around(item[:20] + ["b", "c", "d"] * 8 + item[20:]))]
+    docs += [(5, around(item[1:39], 40_000)), (6, " ".join(item[20:] + item[:20])), (7, around(item[:20])), (8, around([x for x in item for _ in (0, 1)]))]
+    items = [(1, " ".join(item)), (2, " ".join(["again", "and"] * 15)), (3, " ".join(item[5:36]))]
+    docs += [(9, around(["again", "and"] * 14 + ["again"])), (10, " ".join(["and", "again"] * 9))]
+    want = brute(docs, items)
+    assert {(1, 1), (2, 1), (5, 1), (6, 1), (9, 2)} <= set(want) and 7 not in {d for d, _ in want}
+    assert got(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
+
+
+def test_recall_near_the_threshold(spark):
+    """Items with as many words changed as leave a similarity just above 0.75: nearly all are within the radius."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(9000)}"
+    items = [(i, [word() for _ in range(rng.randrange(30, 60))]) for i in range(60)]
+    docs = []
+    for i, w in items:
+        for _ in range(5):
+            cut = int(0.143 * (len(w) - 4))
+            docs.append((len(docs), " ".join([word() for _ in range(20)] + w[cut:] + [word() for _ in range(20)])))
+    want = brute(docs, [(i, " ".join(w)) for i, w in items])
+    res = got(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")))
+    assert len(want) == 300 and all(res[x] <= want[x] for x in res) and len(res) >= 0.98 * len(want)
