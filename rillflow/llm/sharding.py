@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 
 def _draw(total: str, good: str, n: str, u: str) -> str:
@@ -25,7 +25,7 @@ def _draw(total: str, good: str, n: str, u: str) -> str:
 def communication_matrix(counts: DataFrame, sizes: list[int], levels: int, seed: int) -> DataFrame:
     """Exact numbers of rows that each block sends to each shard: (block, sent array<bigint>).
 
-    counts: block (0 to 2**levels - 1), n. The rows of a block are a uniform sample without replacement of all places, so
+    counts: block (0 to 2**levels - 1; those without rows may be absent), n. The rows of a block are a uniform sample without replacement of all places, so
     the matrix is drawn as one: a binary tree halves the set of blocks, and at each node the places of the left half are
     drawn from the node's places, shard after shard (a multivariate hypergeometric law). Row sums are ``n``, column sums are ``sizes``.
     """
@@ -48,36 +48,40 @@ def communication_matrix(counts: DataFrame, sizes: list[int], levels: int, seed:
     return node.select("block", F.col("places").alias("sent"))
 
 
-def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_block: int = 16384, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_range: int = 16384) -> DataFrame:
     """All rows of ``docs`` with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard): a uniform shuffle whose shard sizes differ by one at most.
 
-    Rows are dealt into blocks by a hash of ``key``; a narrow job counts the blocks, ``communication_matrix`` fixes how many
-    rows each sends to each shard, each block is put in random order, its first rows go to shard 0, the next to shard 1, and so on, and each shard is
-    put in random order again. That last order is cut into ranges of about ``rows_per_block`` rows, whose sizes come from the narrow job,
-    so that no task ever holds a whole shard. Two exchanges of the rows. The result depends on the rows and
-    ``seed`` only, not on partitions or retries: ties are rows equal in key and text, which can stand for each other. Rows of one key share a block.
-    Null keys and texts are ordinary values; an empty table gives no rows; columns of the same name as those added are replaced.
+    1. Each partition is put in random order where it is and written to the shared folder, with a number for each row: the partition and the row's place in it.
+    2. The rows of each partition are counted; ``communication_matrix`` draws how many of them go to each shard. As a partition is in random order, its first rows
+       go to shard 0, the next to shard 1, and so on.
+    3. One exchange of the rows by shard and range, then random order again. A range holds about ``rows_per_range`` rows of a shard, picked by a hash of the row's
+       number; where each range begins comes from a narrow job, so that no task ever holds a whole shard.
+
+    Nothing depends on what the rows hold: repeated keys, nulls and copies scatter like any other rows. Draws are made once, for the written table, so tasks that run again, or
+    on fewer executors, give the same shards and slots; another run gives the same ones for the same ``seed`` and input partitions.
+    Null keys and texts and very long texts are ordinary; an empty table gives no rows; columns named shard or slot are replaced, all others are kept as they are.
+    The counts of all partitions, two numbers each, pass one task: some MB at 100 TB.
     """
-    n = docs.count()
-    levels = max(6, (max(1, n) // rows_per_block).bit_length())
-    ranges = max(8, -(-n // (n_shards * rows_per_block)))
-    names = ["shard", "slot"]
-    own = {c: f"__{c}" for c in ("block", "r1", "r2", "rank", "sent", "range", "start")}
-    block = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - levels).cast("long")
-    first, second = F.xxhash64(F.lit(seed + 1), F.col(key)), F.xxhash64(F.lit(seed + 2), F.col(key))
-    counts = written(docs.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")))
-    matrix = written(communication_matrix(counts, [n // n_shards + (s < n % n_shards) for s in range(n_shards)], levels, seed).select(F.col("block").alias(own["block"]), F.col("sent").alias(own["sent"])))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    number, order, block, rank, sent, part, begin = unused([*kept, "shard", "slot"], "number", "order", "block", "rank", "sent", "part", "begin")
+    mixed = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(order, F.rand(seed)).sortWithinPartitions(order).drop(order)
+    held = written(mixed.withColumn(number, F.monotonically_increasing_id()))
+    counts = written(held.groupBy(F.shiftright(number, 33).alias("held")).agg(F.count(F.lit(1)).alias("n")))
+    counts = written(counts.select("held", "n", (F.row_number().over(Window.orderBy("held")) - 1).cast("long").alias("block")))
+    n, partitions = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
+    drawn = communication_matrix(counts.select("block", "n"), sizes, max(1, (max(1, partitions) - 1).bit_length()), seed)
+    matrix = written(drawn.join(counts, "block").select(F.col("held").alias(block), F.col("sent").alias(sent)))
+    ranges = max(1, -(-n // (n_shards * rows_per_range)))
 
-    def placed(rows: DataFrame, tie: list[Column]) -> DataFrame:
-        w = Window.partitionBy(own["block"]).orderBy(own["r1"], *tie)
-        rows = rows.withColumns({own["block"]: block, own["r1"]: first, own["r2"]: second}).withColumn(own["rank"], F.row_number().over(w) - 1).join(matrix, own["block"])
-        reached = F.expr(f"aggregate({own['sent']}, named_struct('left', bigint({own['rank']}), 's', 0), (a, x) -> if(a.left < 0, a, if(a.left < x, named_struct('left', -1L, 's', a.s), named_struct('left', a.left - x, 's', a.s + 1)))).s")
-        return rows.withColumns({"shard": reached.cast("int"), own["range"]: F.pmod(F.col(own["r2"]), F.lit(ranges)).cast("int")})
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({block: F.shiftright(number, 33), rank: F.col(number).bitwiseAND(F.lit((1 << 33) - 1)), order: F.xxhash64(F.lit(seed), number)}).join(matrix, block)
+        reached = F.expr(f"aggregate(`{sent}`, named_struct('left', `{rank}`, 's', 0), (a, x) -> if(a.left < 0, a, if(a.left < x, named_struct('left', -1L, 's', a.s), named_struct('left', a.left - x, 's', a.s + 1)))).s")
+        return rows.withColumns({"shard": reached.cast("int"), part: F.pmod(F.col(order), F.lit(ranges)).cast("int")}).drop(block, rank, sent)
 
-    sizes = placed(docs.select(key), []).groupBy("shard", own["range"]).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy(own["range"]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(written(sizes).select("shard", own["range"], F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own["start"])))
-    rows = placed(docs.drop(*names), [F.xxhash64(F.col(text))]).drop(own["block"], own["r1"], own["rank"], own["sent"])
-    w = Window.partitionBy("shard", own["range"]).orderBy(own["r2"], F.xxhash64(F.col(text)))
-    rows = rows.withColumn("slot", F.row_number().over(w) - 1).join(starts, ["shard", own["range"]])
-    return rows.select(*[c for c in docs.columns if c not in names], "shard", (F.col("slot") + F.col(own["start"])).cast("long").alias("slot"))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(placed(held.select(number)).groupBy("shard", part).agg(F.count(F.lit(1)).alias("n")))
+    starts = written(starts.select("shard", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(begin)))
+    again = Window.partitionBy("shard", part).orderBy(order, number)
+    rows = placed(held).withColumn("slot", F.row_number().over(again) - 1).join(starts, ["shard", part])
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col("slot") + F.col(begin)).cast("long").alias("slot"))
