@@ -9,16 +9,19 @@ twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by d
 covered as (select doc_id, count(distinct i + k) as n from twice, range(3) r(k) group by 1),
 m as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words from w left join covered c on c.doc_id = w.doc_id),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-r as (select doc_id, base_failed, lang, source, unnest(['word_chars_k', 'symbols_k', 'dup_lines_k', 'repeats_k']) as rate, unnest([1000 * word_chars // greatest(n_words, 1), 1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1)]) as v from b),
-bins as (select *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bin from r where not base_failed),
-q as (
-  select 'own' as level, lang, source, rate, count(*) as total, quantile_disc(bin, 0.25) as q1, quantile_disc(bin, 0.75) as q3 from bins group by all
-  union all select 'lang', lang, null, rate, count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) from bins group by lang, rate
-  union all select 'all', null, null, rate, count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) from bins group by rate),
-f as (select *, greatest(4 * (q3 - q1), case rate when 'word_chars_k' then 1000 when 'symbols_k' then 100 else 300 end) as gap from q),
-picked as (select o.lang, o.source, o.rate, x.q1, x.q3, x.gap from f o join f l on l.level = 'lang' and l.lang is not distinct from o.lang and l.rate = o.rate join f a on a.level = 'all' and a.rate = o.rate
-  join f x on x.rate = o.rate and x.level = case when o.total >= 200 then 'own' when l.total >= 200 then 'lang' else 'all' end and (x.level = 'all' or x.lang is not distinct from o.lang) and (x.level <> 'own' or x.source is not distinct from o.source) where o.level = 'own'),
-bad as (select distinct r.doc_id from r join picked p on p.rate = r.rate and p.lang is not distinct from r.lang and p.source is not distinct from r.source where r.v > p.q3 + p.gap or (r.rate = 'word_chars_k' and r.v < greatest(p.q1 - p.gap, 0)))
+r as (select doc_id, base_failed, lang, source, unnest(['word_chars_k', 'symbols_k', 'dup_lines_k', 'repeats_k']) as rate, unnest([word_chars, n_symbols, n_dup_lines, n_repeat_words]) as c, unnest([n_words, n_words, n_lines, n_words]) as n from b),
+v as (select *, 1000 * c // greatest(n, 1) as v from r where not base_failed),
+bins as (select *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bin from v),
+grp as (select distinct lang, source, rate from bins),
+grid as (select g.lang, g.source, g.rate, a.bin, a.n as a, coalesce(l.n, 0) as l, coalesce(o.n, 0) as g from grp g join (select rate, bin, count(*) as n from bins group by all) a on a.rate = g.rate
+  left join (select lang, rate, bin, count(*) as n from bins group by all) l on l.rate = g.rate and l.bin = a.bin and l.lang is not distinct from g.lang
+  left join (select lang, source, rate, bin, count(*) as n from bins group by all) o on o.rate = g.rate and o.bin = a.bin and o.lang is not distinct from g.lang and o.source is not distinct from g.source),
+cum as (select lang, source, rate, bin, (sum(a) over w)::double as a, (sum(l) over w)::double as l, (sum(g) over w)::double as g, (sum(a) over t)::double as ta, (sum(l) over t)::double as tl, (sum(g) over t)::double as tg from grid
+  window w as (partition by lang, source, rate order by bin), t as (partition by lang, source, rate)),
+f as (select *, (g + 100::double * ((l + 100::double * (a / ta)) / (tl + 100::double))) / (tg + 100::double) as f from cum),
+q as (select lang, source, rate, min(bin) filter (where f >= 0.1::double) as q1, min(bin) filter (where f >= 0.5::double) as q5, min(bin) filter (where f >= 0.9::double) as q9 from f group by all),
+d as (select r.doc_id, r.rate, c, 1000 * c - (q9 + 4 * (q9 - q5)) * n as over, (q1 - 4 * (q5 - q1)) * n - 1000 * c as under from r join q on q.rate = r.rate and q.lang is not distinct from r.lang and q.source is not distinct from r.source),
+bad as (select distinct doc_id from d where over > 0 and over::double * over::double > 9000000::double * c or rate = 'word_chars_k' and under > 0 and under::double * under::double > 9000000::double * c)
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from b left join bad on bad.doc_id = b.doc_id"""
 
 OP6 = """with p as (select page_id, coalesce(html, '') as h, max(page_id) over (partition by coalesce(html, '')) as own, sha1(coalesce(html, '')) as d from pages)

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, words, written
 
-#: The rates that get a threshold: whole numbers, so that sketches are exact to compare. Slack is the least width of a fence.
+#: The rates that get bounds, per thousand: what is counted, of how many, and whether there is a lower bound.
 RATES = {
-    "word_chars_k": ("1000 * word_chars / n_words", 1000, True),
-    "symbols_k": ("1000 * n_symbols / n_words", 100, False),
-    "dup_lines_k": ("1000 * n_dup_lines / n_lines", 300, False),
-    "repeats_k": ("1000 * n_repeat_words / n_words", 300, False),
+    "word_chars_k": ("word_chars", "n_words", True),
+    "symbols_k": ("n_symbols", "n_words", False),
+    "dup_lines_k": ("n_dup_lines", "n_lines", False),
+    "repeats_k": ("n_repeat_words", "n_words", False),
 }
+LEVELS = (0.1, 0.5, 0.9)  #: quantiles that bounds are made of
+WIDTH = 4  #: a bound lies so many times as far beyond the outer quantile as that lies from the median
+PRIOR = 100.0  #: documents that a wider level of sketches weighs as
+SIGMAS = 3  #: standard deviations of a count (its square root) that a document must exceed a bound by
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -29,8 +33,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "__hash": F.transform(words(F.col(text)), lambda x: F.xxhash64(x)),
     })
     out = out.withColumns({"n_words": F.size("__hash").cast("long"), "n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
-    zipped = F.arrays_zip("__hash", F.slice("__hash", 2, 2**30).alias("__b"), F.slice("__hash", 3, 2**30).alias("__c"))
-    out = out.withColumn("__three", F.transform(F.slice(zipped, F.lit(1), F.greatest(F.size("__hash") - 2, F.lit(0))), lambda r: F.xxhash64(r["__hash"], r["__b"], r["__c"])))
+    three = F.transform(F.slice("__hash", F.lit(1), F.greatest(F.size("__hash") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("__hash", i + 1), F.get("__hash", i + 2)))
+    out = out.withColumn("__three", three)
     unique = F.size(F.array_distinct("__three")) == F.size("__three")
     out = out.withColumn("__sorted", F.when(~unique, F.sort_array(F.transform("__three", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = F.arrays_zip("__sorted", F.slice("__sorted", 2, 2**30).alias("__next"), F.concat(F.slice("__sorted", 1, 1), F.col("__sorted")).alias("__last"))
@@ -57,39 +61,54 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], width: int) -> DataFrame:
-    """From sketches: by, rate, total, low and high, where high = Q3 + width * max(Q3 - Q1, slack / width) and low likewise below Q1."""
-    w = Window.partitionBy(*by, "rate").orderBy("bin")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    q = ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for k, (_, s, _) in RATES.items() for x in (k, s)])[F.col("rate")]
-    both = F.create_map(*[F.lit(x) for k, (_, _, b) in RATES.items() for x in (k, b)])[F.col("rate")]
-    gap = F.greatest((F.col("q3") - F.col("q1")) * width, slack)
-    return q.select(*by, "rate", "total", F.when(both, F.col("q1") - gap).alias("low"), (F.col("q3") + gap).alias("high"))
+def bounds(sketch: DataFrame) -> DataFrame:
+    """Bounds of each group from its sketch (lang, source, rate, bin, n): lang, source, rate, low, high.
 
-
-def judged(docs: DataFrame, width: int = 4, least: int = 200, id_col: str = "doc_id") -> DataFrame:
+    The quantiles come from the group's distribution merged with that of its language as if by PRIOR more documents, which is merged with that of all documents likewise; so a group with few documents
+    passes into its language without a step. With quantiles a, b and c at LEVELS, low is a - WIDTH * (b - a) and high c + WIDTH * (c - b).
+    Each sketch is one array of its bins (some hundreds), and one pass over the bins finds the quantiles.
+    """
+    packed = lambda by: merged(sketch, by).groupBy(*by, "rate").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"), F.sum("n").alias("total"))
+    own, wide, whole = packed(["lang", "source"]), packed(["lang"]), packed([])
+    wide = wide.select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("held").alias("l_held"), F.col("total").alias("l_total"))
+    whole = whole.select(F.col("rate").alias("a"), F.col("held").alias("a_held"), F.col("total").alias("a_total"), F.array_sort(F.map_keys("held")).alias("bins"))
+    both = own.join(wide, own["lang"].eqNullSafe(wide["l"]) & (own["rate"] == wide["r"])).join(whole, own["rate"] == whole["a"])
+    step = """aggregate(bins, named_struct('a', 0L, 'l', 0L, 'g', 0L, 'q', cast(array({none}) as array<bigint>)), (s, x) -> transform(array(
+        named_struct('a', s.a + a_held[x], 'l', s.l + coalesce(try_element_at(l_held, x), 0L), 'g', s.g + coalesce(try_element_at(held, x), 0L), 'q', s.q)), t -> named_struct('a', t.a, 'l', t.l, 'g', t.g,
+        'q', transform(t.q, (q, i) -> if(q is null and (t.g + {m} * ((t.l + {m} * (t.a / a_total)) / (l_total + {m}))) / (total + {m}) >= array({levels})[i], x, q))))[0]).q"""
+    found = both.withColumn("q", F.expr(step.format(none=", ".join(["null"] * 3), m=f"{PRIOR}D", levels=", ".join(f"{x}D" for x in LEVELS))))
+    q = [F.get("q", F.lit(i)) for i in range(3)]
+    return found.select("lang", "source", "rate", (q[0] - WIDTH * (q[1] - q[0])).alias("low"), (q[2] + WIDTH * (q[2] - q[1])).alias("high"))
+
+
+def beyond(excess: Column, count: Column) -> Column:
+    """A count that is by ``excess`` thousandths off what a bound allows is off by more than SIGMAS standard deviations."""
+    d = excess.cast("double")
+    return (d > 0) & (d * d > F.lit(SIGMAS**2 * 1e6) * count)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Verdicts on documents (doc_id, text, lang, source): id, the counts of ``measured``, base_failed, kept and failed (the rates out of bounds).
 
-    A document is kept unless base_failed (fewer than 50 words, or over half of them in repeated windows) or a rate lies outside the fences of its
-    language and source. A group with fewer than ``least`` documents takes the fences of its language, and that failing those of all documents, from merged
-    sketches. Documents with base_failed don't count in sketches. Null languages and sources are groups of their own; an empty table gives no rows; columns that clash are not read.
-    The counts are written once to the shared folder (narrow); fences, a row per language and source, are joined at their known size.
+    A document is kept unless base_failed (fewer than 50 words, or over half of them in repeated windows) or a rate lies outside the ``bounds`` of its
+    language and source by more than chance explains: a count beyond the bound by more than SIGMAS times its square root. All rates have the same rule; no cutoff is fixed.
+    Documents with base_failed don't count in sketches. Null languages and sources are groups of their own; a null text has no words and fails; repeated rows have a verdict each; an empty table gives no rows; columns that clash are not read.
+    The counts are written once to the shared folder (narrow); bounds, a row per language and source, are joined at their known size. A hot source is one group of some hundred bins, added up in each task before the shuffle.
     """
-    rates = {k: F.when(F.col("n_words") > 0, F.floor(F.expr(e.replace("/ n_lines", "/ greatest(n_lines, 1)").replace("/ n_words", "/ greatest(n_words, 1)")))).otherwise(0).cast("long") for k, (e, _, _) in RATES.items()}
+    rates = {k: F.expr(f"1000 * {count} div greatest({of}, 1)") for k, (count, of, _) in RATES.items()}
     counts = measured(docs.select(id_col, "text", "lang", "source")).drop("text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = written(counts.withColumn("base_failed", base).withColumns(rates))
     fine = written(sketches(counts.where("not base_failed"), ["lang", "source"]))
-    lang = merged(fine, ["lang"])
-    own = fences(fine, ["lang", "source"], width)
-    wide = fences(lang, ["lang"], width).select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("total").alias("l_total"), F.col("low").alias("l_low"), F.col("high").alias("l_high"))
-    whole = fences(merged(lang, []), [], width).select(F.col("rate").alias("g"), F.col("low").alias("g_low"), F.col("high").alias("g_high"))
-    picked = own.join(wide, own["lang"].eqNullSafe(wide["l"]) & (own["rate"] == wide["r"])).join(whole, own["rate"] == whole["g"])
-    pick = lambda c: F.when(F.col("total") >= least, F.col(c)).when(F.col("l_total") >= least, F.col(f"l_{c}")).otherwise(F.col(f"g_{c}"))
-    picked = picked.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, pick(c))).alias(f"{k}_{c}") for k in RATES for c in ("low", "high")])
+    picked = bounds(fine).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{k}_{c}") for k in RATES for c in ("low", "high")])
     picked = written(picked.withColumnsRenamed({"lang": "f_lang", "source": "f_source"}))
     both = counts.join(picked, counts["lang"].eqNullSafe(picked["f_lang"]) & counts["source"].eqNullSafe(picked["f_source"]), "left")
-    out = {k: F.coalesce((F.col(k) > F.col(f"{k}_high")) | (F.col(k) < F.coalesce(F.col(f"{k}_low"), F.lit(0))), F.lit(False)) for k in RATES}
+    out = {}
+    for k, (count, of, lower) in RATES.items():
+        c, n = F.col(count), F.col(of)
+        out[k] = beyond(1000 * c - F.col(f"{k}_high") * n, c)
+        if lower:
+            out[k] = out[k] | beyond(F.col(f"{k}_low") * n - 1000 * c, c)
+        out[k] = F.coalesce(out[k], F.lit(False))
     failed = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in out.items()]))
     return both.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~reduce(lambda a, b: a | b, out.values())).alias("kept"), failed.alias("failed"))
