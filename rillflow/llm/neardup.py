@@ -14,8 +14,7 @@ from .common import components, written
 
 K = 32  #: retained values of a sketch
 SHARED = 11  #: of K values, so many are shared by similar texts, but for one pair in a million (J = 0.75)
-BLOCK_NODES = 2048  #: texts that one task compares with as many others
-BLOCK_VALUES = 4_000_000  #: and their shingles in all
+BLOCK_NODES = 1024  #: texts that one task compares with as many others
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +67,8 @@ def _common(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketch_links(values: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that may be similar. Up to the lesser of two sketches' largest values, both hold all values of their sets: the union there is a sketch of the union."""
+def _estimates(values: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Estimated similarity of each two texts that may be similar, else 0. Up to the lesser of two sketches' largest values, both hold all values of their sets: the union there is a sketch of the union."""
     c = _common(values)
     whole = n <= K
     last = np.array([np.inf if w else float(v[-1]) for v, w in zip(values, whole)])
@@ -77,86 +76,93 @@ def _sketch_links(values: list[np.ndarray], n: np.ndarray, percent: int) -> np.n
     union = upto + upto.T - c
     exact = whole[:, None] & whole[None, :]
     least = np.where(exact, percent / 100, percent / 100 / 2)
-    return (c > 0) & (c >= least * union - 1e-3) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    may = (c > 0) & (c >= least * union - 1e-3) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    return np.where(may, c / np.maximum(union, 1), 0)
 
 
-def _full_links(values: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
-    c = _common(values)
-    return (c > 0) & (100 * c >= percent * (n[:, None] + n[None, :] - c))
+def _closest(estimates: np.ndarray, key: tuple, label: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the one before it that seems closest; of equally close ones the last."""
+    before = np.triu(estimates, 1)
+    u = len(before) - 1 - before[::-1].argmax(0)
+    v = np.flatnonzero(before.max(0) > 0)
+    return u[v], v
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """For each row the least row that it reaches."""
-    label = np.arange(len(links))
-    while True:
-        low = np.where(links, label[None, :], len(links)).min(1)
-        new = np.minimum(label, low)
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _all_pairs(estimates: np.ndarray, key: tuple, label: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that may be similar and aren't in one component yet; those inside a block only where the block meets itself."""
+    wanted = (estimates > 0) & (label[:, None] != label[None, :])
+    if key[1] != key[2]:
+        wanted &= own[:, None] != own[None, :]
+    return np.nonzero(np.triu(wanted, 1))
 
 
-def _linker(links, percent: int):
-    """A function over rows (key columns, node, n, values), sorted by key: edges (u, v) that join the rows of a key as the similar pairs among them do."""
+def _pairer(picked, percent: int):
+    """A function over rows (value, i, j, node, n, label, own, values), sorted by the first three: the pairs (u, v, estimate) that ``picked`` takes from each key's rows."""
 
-    def compared(nodes: list, n: list, values: list) -> tuple[np.ndarray, np.ndarray]:
-        nodes, first = np.unique(np.array(nodes, np.int64), return_index=True)
-        label = _forest(links([values[i] for i in first], np.array([n[i] for i in first], np.float32), percent))
-        moved = label != np.arange(len(label))
-        return nodes[moved], nodes[label[moved]]
+    def pairs(key: tuple, rows: list) -> tuple:
+        nodes, first = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True)
+        n, label, own = (np.array([rows[i][c] for i in first], np.int64) for c in (1, 2, 3))
+        estimates = _estimates([rows[i][4] for i in first], n.astype(np.float32), percent)
+        u, v = picked(estimates, key, label, own)
+        return nodes[u], nodes[v], estimates[u, v].astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, n, values, us, vs = None, [], [], [], [], []
-
-        def emitted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or [np.zeros(0, np.int64)])), pa.array(np.concatenate(vs or [np.zeros(0, np.int64)]))], ["u", "v"])
-            us.clear()
-            vs.clear()
-            return out
+        key, rows = None, []
 
-        def closed() -> None:
-            if len(nodes) > 1:
-                u, v = compared(nodes, n, values)
-                if len(u):
-                    us.append(u)
-                    vs.append(v)
+        def closed() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(key, rows)], ["u", "v", "estimate"])
 
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in range(3)]))
-            ids, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            lists = batch.column(5)
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            lists = batch.column(7)
             off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for r, k in enumerate(keys):
+            for r, k in enumerate(zip(*columns[:3])):
                 if k != key:
-                    closed()
-                    key, nodes, n, values = k, [], [], []
-                nodes.append(ids[r])
-                n.append(sizes[r])
-                values.append(flat[off[r] : off[r + 1]].copy())
-            if us:
-                yield emitted()
-        closed()
-        yield emitted()
+                    yield from closed()
+                    key, rows = k, []
+                rows.append((*(c[r] for c in columns[3:]), flat[off[r] : off[r + 1]].copy()))
+        yield from closed()
 
     return run
 
 
-def _in_blocks(members: DataFrame, key: str, total: DataFrame) -> DataFrame:
-    """members (key, node, ...) with block pair (i, j): a group of ``blocks`` (in total) blocks goes to one task for each pair of blocks."""
-    m = members.join(total, key)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    m = m.withColumn("own", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    return m.withColumn("p", F.explode(pairs)).select(F.col(key).alias("key"), "p.i", "p.j", *[c for c in members.columns if c != key])
+def _pairs(rows: DataFrame, picked, percent: int) -> DataFrame:
+    """rows (value, i, j, node, n, label, own, values): pairs (u, v, estimate) inside each (value, i, j), u before v."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("value", "i", "j", "node", "n", "label", "own", "values").repartition(parts, "value", "i", "j").sortWithinPartitions("value", "i", "j")
+    return dealt.mapInArrow(_pairer(picked, percent), "u long, v long, estimate double")
+
 
+def _facing(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The rows of those lists (value, node) that hold texts of several components, dealt out for comparison across components: value, i, j, node, label, own.
 
-def _linked(rows: DataFrame, links, percent: int) -> DataFrame:
-    """rows (key, i, j, node, n, values): edges of the spanning forests."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "i", "j", "node", "n", "values").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_linker(links, percent), "u long, v long")
+    In each list, texts of its largest component are cut into blocks of their own (numbers below 0), all others into blocks from 0 on. Every block of others meets every block; blocks of the largest
+    component don't meet each other. So a list of which most is one component, however long, gives about as many rows as it has.
+    """
+    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    held = written(named.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n")))
+    most = held.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    most = written(most.select("value", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / block).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("others")))
+    rows = named.join(most, "value").withColumn("large", F.col("label") == F.col("top"))
+    spread = lambda n: F.pmod(F.xxhash64("value", "node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("large"), -1 - spread(F.col("tops"))).otherwise(spread(F.col("others"))))
+    others, tops = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(-1), -F.col("tops"))
+    meet = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    pairs = F.when(F.col("large"), F.transform(others, lambda o: meet(o, F.col("own")))).otherwise(F.concat(F.transform(others, lambda o: meet(F.least(o, F.col("own")), F.greatest(o, F.col("own")))), F.transform(tops, lambda t: meet(F.col("own"), t))))
+    return rows.withColumn("p", F.explode(pairs)).select("value", "p.i", "p.j", "node", "label", "own")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are similar on their full sets. Each text in a pair is hashed once more."""
+    wanted = written(classes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", "a", "b", F.col("first.id").alias("w_id"), F.col("first.text_hash").alias("w_hash")))
+    texts = rows_of.join(wanted.select("w_id", "w_hash").distinct(), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets, "a long, b long, values array<long>").groupBy("a", "b").agg(F.first("values").alias("values"))
+    sets = written(wanted.join(sets, ["a", "b"]).select("node", "values"))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("values").alias(f"{name}_set"))
+    both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("u_set", "v_set")).cast("long")
+    return written(both.where(100 * common >= percent * (F.size("u_set") + F.size("v_set") - common)).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -169,17 +175,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     1. Each text gets the 32 least of its shingle hashes as sketch; equal sets are one node from here on.
     2. Inverted lists of retained values. Similar sketches share 11 of 32 values, so one of a node's 22 rarest is
        enough to meet: values that many texts share head a list only for texts made of little else.
-    3. In each list, pairs are filtered by the estimate over the union of both sketches. A task returns a spanning forest of what passes, so
-       candidates are linear in list sizes; long lists go in pairs of blocks to many tasks.
-    4. Groups that candidates connect are compared on full sets, each set sent once to its group (in blocks again), and the forests of true links are joined.
+    3. In each list (in blocks of it, where it is long), each text is paired with the one before it that the estimate over the union of both sketches has as closest. Of all
+       lists, the closest one counts: one pair a text. Those pairs are verified on full sets, which already joins nearly all texts that belong together.
+    4. What remains are pairs between components: lists with texts of several components are compared across them, and all pairs that pass the estimate are verified on full sets.
 
-    A pair with J >= 0.75 is missed by the estimate with probability 1e-5 or less; no list, group or partner is capped.
+    A pair with J >= 0.75 is missed by the estimate with probability 1e-5 or less; no list, group or partner is capped. Work is linear in the texts of a group of
+    close texts; of texts that are near by estimate (0.375 or more) and not joined, each pair costs a verification, as nothing else can tell them apart.
     """
     carried = [f"carried_{c}" for c in carry]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(o) for c, o in zip(carry, carried)], F.col(text).alias("text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     rows = written(rows.mapInArrow(_sketched, f"{kinds}, n long, a long, b long, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "text_hash")
     classes = written(rows.where("n > 0").groupBy("a", "b").agg(F.min("rid").alias("node"), F.min(rank).alias("first"), F.max("n").alias("n")))
     nodes = written(rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.col("sketch").alias("values")))
 
@@ -190,18 +197,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     lists = written(each.where(reach > 0).select("node", F.explode(F.slice("vs", F.lit(1), reach.cast("int"))).alias("x")).select("node", F.col("x.value").alias("value")))
     sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes.select("value", F.ceil(F.col("size") / BLOCK_NODES).alias("blocks")))
-    may = written(_linked(_in_blocks(lists, "value", sizes).join(nodes, "node"), _sketch_links, percent).distinct())
-
-    groups = written(components(may))
-    members = written(groups.select("node", F.col("root").alias("grp")).join(classes, "node").select("node", "grp", "n", "a", "b", F.col("first.id").alias("id")))
-    wanted = members.select(F.col("id").alias("wanted")).distinct()
-    rows_of = docs.select(F.col(id_col).alias("id"), text)
-    texts = rows_of.join(wanted, rows_of["id"].eqNullSafe(wanted["wanted"]), "left_semi").select(text)
-    sets = texts.mapInArrow(_sets, "a long, b long, values array<long>")
-    total = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
-    total = written(total.select("grp", F.ceil(F.greatest(F.col("size") / BLOCK_NODES, F.col("held") / BLOCK_VALUES)).alias("blocks")))
-    placed = _in_blocks(members, "grp", total)
-    links = written(_linked(placed.join(sets, ["a", "b"]), _full_links, percent).distinct())
+    block = F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int")
+    dealt = lists.join(sizes, "value").select("value", block.alias("i"), block.alias("j"), "node", F.col("node").alias("label"), block.alias("own"))
+    closest = _pairs(dealt.join(nodes, "node"), _closest, percent).groupBy("v").agg(F.max(F.struct("estimate", "u")).alias("x"))
+    closest = written(closest.select("x.u", "v"))
+    rows_of = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    links = _verified(closest, classes, rows_of, percent)
+    across = _facing(lists, written(components(links)), BLOCK_NODES).join(nodes, "node")
+    across = written(_pairs(across, _all_pairs, percent).select("u", "v").distinct().join(closest, ["u", "v"], "left_anti"))
+    links = links.unionByName(_verified(across, classes, rows_of, percent))
 
     found = components(links)
     of = classes.join(found, "node", "left").select("a", "b", F.coalesce("root", "node").alias("root"), "first")
