@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.llm import chat, quality, sharding, warc
-from rillflow.llm.queries import QUERIES
+from rillflow.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot long, n_words string"
@@ -50,19 +52,58 @@ def test_sharding_is_exact_and_gapless(spark, sf):
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
 
 
+def test_sharding_draws_follow_the_exact_law(spark):
+    """Chi-square of 20,000 draws against the probabilities themselves, for a small and a skewed case."""
+    for total, good, n in ((11, 6, 5), (40, 3, 25), (30, 28, 7)):
+        got = Counter(r[0] for r in spark.range(20_000).select(F.expr(sharding._draw(f"{total}L", f"{good}L", f"{n}L", "rand(5)"))).collect())
+        law = {x: math.comb(good, x) * math.comb(total - good, n - x) / math.comb(total, n) for x in range(max(0, n + good - total), min(n, good) + 1)}
+        assert set(got) <= set(law)
+        common = [x for x in law if law[x] * 20_000 >= 5]
+        assert sum((got[x] - 20_000 * law[x]) ** 2 / (20_000 * law[x]) for x in common) < 30
+
+
 def test_sharding_matrix_sums_and_law(spark):
-    counts = spark.createDataFrame([(b, 10 + b % 7) for b in range(50)], "block long, n long")
-    total = sum(10 + b % 7 for b in range(50))
+    counts = spark.createDataFrame([(b, 10 + b % 7) for b in range(500)], "block long, n long")
+    total = sum(10 + b % 7 for b in range(500))
     sizes = [total // 5 + (s < total % 5) for s in range(5)]
-    cells = []
-    for seed in range(3):
-        m = {r["block"]: r["sent"] for r in sharding.communication_matrix(counts, sizes, 6, seed).collect()}
-        assert [sum(m[b][s] for b in m) for s in range(5)] == sizes
-        assert all(sum(m[b]) == (10 + b % 7 if b < 50 else 0) for b in m)
-        cells += [x for b in range(50) for x in m[b]]
-    mean = sum(cells) / len(cells)
-    var = sum((x - mean) ** 2 for x in cells) / len(cells)
-    assert 1.5 < var < 3.2, "a binomial-like spread about 2.6 each"
+    m = {r["block"]: r["sent"] for r in sharding.communication_matrix(counts, sizes, 9, 3).collect()}
+    assert [sum(m[b][s] for b in m) for s in range(5)] == sizes
+    assert all(sum(m[b]) == (10 + b % 7 if b < 500 else 0) for b in m)
+    square = []
+    for b in range(500):
+        n = 10 + b % 7
+        for s in range(5):
+            p = sizes[s] / total
+            square.append((m[b][s] - n * p) ** 2 / (n * p * (1 - p) * (total - n) / (total - 1)))
+    assert abs(sum(square) / len(square) - 1) < 0.12, "the mean of 2,500 squared deviations, by the exact variance of each"
+
+
+def test_sharding_scatters_copies_and_one_key(spark):
+    """Each row twice: pairs meet in one shard and as neighbours as often as chance has it; null keys and a hot key go everywhere."""
+    rows = [(i, f"text {i}") for i in range(4000) for _ in (0, 1)] + [(None, "none")] * 3000 + [(-1, "hot")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = rows_of(sharding.shuffle_to_shards(docs, 16, rows_per_range=100))
+    where = {}
+    for r in got:
+        where.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    pairs = [where[i] for i in range(4000)]
+    same = sum(a[0] == b[0] for a, b in pairs)
+    assert abs(same - 250) < 5 * 15.3
+    assert sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for a, b in pairs) <= 5
+    for hot in (None, -1):
+        shards = Counter(s for s, _ in where[hot])
+        assert len(shards) == 16 and max(shards.values()) < 3000 / 16 * 1.5
+        slots = sorted(x for s, x in where[hot] if s == 0)
+        assert slots[0] < 60 and slots[-1] > 14000 / 16 - 60
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"])) if r["doc_id"] not in (None, -1)]
+    up = sum(a < b for a, b in zip(order, order[1:]))
+    assert abs(up - len(order) / 2) < 5 * math.sqrt(len(order) / 12)
+
+
+def test_sharding_sends_whole_rows_once(spark, sf):
+    plan = QUERIES["op2_sharding"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning" in line and "text" in line for line in plan.split("\n")) <= 1
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_sharding_odd_rows(spark):
@@ -70,6 +111,12 @@ def test_sharding_odd_rows(spark):
     got = rows_of(sharding.shuffle_to_shards(docs, 4))
     assert len(got) == docs.count() and sorted(Counter(r["shard"] for r in got).values()) == [2, 2, 2, 3]
     assert sharding.shuffle_to_shards(docs.limit(0), 4).count() == 0
+    clash = docs.select(*docs.columns[:5], *[F.lit(i).alias(c) for i, c in enumerate(("number", "order", "block", "rank", "sent", "part", "begin", "Slot", "n", "held", "__rank", "a.b"))])
+    rows = rows_of(sharding.shuffle_to_shards(clash, 4))
+    assert len(rows) == docs.count() and {(r["number"], r["order"], r["begin"], r["n"], r["held"], r["__rank"], r["a.b"]) for r in rows} == {(0, 1, 6, 8, 9, 10, 11)}
+    assert sorted(set(rows[0]) - set(clash.columns)) == ["shard", "slot"] and "Slot" not in rows[0]
+    long = spark.createDataFrame([(i, "x" * (3_000_000 if i == 5 else 3)) for i in range(40)], "doc_id long, text string")
+    assert sorted(len(r["text"]) for r in rows_of(sharding.shuffle_to_shards(long, 3)))[-2:] == [3, 3_000_000]
 
 
 def brute_quality(text):
@@ -108,6 +155,53 @@ def test_quality_fence_finds_outliers(spark):
     assert kept == set(range(300))
 
 
+def spread_docs(spark):
+    """Two sources of 700 documents with little and much spread in all four rates, one of 12, and outliers for the first."""
+    rng = random.Random(31)
+    rows = []
+
+    def add(source, chars, symbols, dups, repeats, lang="en"):
+        lines = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(chars)) for _ in range(12)) for _ in range(20)]
+        lines += [lines[0]] * dups + ["# " * symbols]
+        lines += [f"again and {i} again and {i} again and {i} again" for i in range(repeats)]
+        rows.append((len(rows), "\n".join(lines), lang, source, 0))
+
+    for _ in range(700):
+        add("calm", rng.choice([5, 5, 5, 6]), rng.choice([0, 0, 0, 1]), 0, 0)
+        add("wild", rng.choice([4, 5, 6, 7, 9]), rng.choice([0, 5, 20, 40]), rng.choice([0, 2, 6, 12]), rng.choice([0, 2, 5, 9]))
+    for _ in range(12):
+        add("rare", 5, 0, 0, 0, rng.choice(["en", None]))
+    for x in ((16, 0, 0, 0), (5, 60, 0, 0), (5, 0, 16, 0), (5, 0, 0, 9)):
+        add("calm", *x)
+        add("wild", *x)
+    rows.extend([(9000, None, None, None, 0), (9001, "", "en", "calm", 0)])
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_quality_sql_with_large_groups(spark, tmp_path):
+    """Groups far larger than PRIOR, so that a group's own quantiles decide."""
+    spread_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(ORACLES["op5_quality_rules"])
+    names = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall(), key=str)
+    got = QUERIES["op5_quality_rules"](spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, got), key=str) == want and 1300 <= sum(r["kept"] for r in got) < len(got)
+
+
+def test_quality_bounds_follow_their_source(spark):
+    docs = spread_docs(spark)
+    counts = quality.measured(docs).withColumns({k: F.expr(f"1000 * {c} div greatest({of}, 1)") for k, (c, of, _) in quality.RATES.items()})
+    got = {(r["source"], r["rate"]): r for r in quality.bounds(quality.sketches(counts.where("n_words >= 50"), ["lang", "source"])).where("lang = 'en'").collect()}
+    for rate in quality.RATES:
+        assert got["calm", rate]["high"] < got["wild", rate]["high"], rate
+    assert got["calm", "word_chars_k"]["low"] > got["wild", "word_chars_k"]["low"]
+    failed = {r["doc_id"]: r["failed"] for r in quality.judged(docs).collect()}
+    for i, (calm, rate) in enumerate(zip(range(1412, 1420, 2), ("word_chars_k", "symbols_k", "dup_lines_k", "repeats_k"))):
+        assert rate in failed[calm] and rate not in failed[calm + 1], (i, rate)
+
+
 @pytest.mark.parametrize("least", [0, 10**9, 40])
 def test_archive(spark, least):
     rows = [(1, "http://a/", "x" * 50), (3, "http://b/", "x" * 50), (2, None, "é" * 30), (4, "u", None), (5, "u", ""), (7, "u", "x" * 50), (7, "u", "x" * 50), (None, "n", "é" * 30)]
