@@ -85,9 +85,9 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        low = written(low)
         if large:
             return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = written(low)
         joined = both.join(low, "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return out.where("u > v").distinct()
@@ -97,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
-    while True:
+    while before[0]:
         edges = written(star(star(edges, True), False))
         after = state(edges)
         if after == before:

@@ -15,6 +15,8 @@ from .common import components, written
 K = 32  #: retained values of a sketch
 SHARED = 11  #: of K values, so many are shared by similar texts, but for one pair in a million (J = 0.75)
 BLOCK_NODES = 1024  #: texts that one task compares with as many others
+BLOCK_VALUES = 4_000_000  #: and their shingles in all, where it holds full sets
+DENSE = 8  #: candidate pairs a text from which a list is compared as a whole and not pair by pair
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,38 +82,63 @@ def _estimates(values: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndar
     return np.where(may, c / np.maximum(union, 1), 0)
 
 
-def _closest(estimates: np.ndarray, key: tuple, label: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the one before it that seems closest; of equally close ones the last."""
-    before = np.triu(estimates, 1)
-    u = len(before) - 1 - before[::-1].argmax(0)
+def _forest(links: np.ndarray) -> np.ndarray:
+    """For each row the least row that it reaches."""
+    label = np.arange(len(links))
+    while True:
+        low = np.where(links, label[None, :], len(links)).min(1)
+        new = np.minimum(label, low)
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _closest(rows: list, key: tuple, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the one before it that seems closest, and the estimate; of equally close ones the last."""
+    before = np.triu(_estimates([r[4] for r in rows], np.array([r[1] for r in rows], np.float32), percent), 1)
     v = np.flatnonzero(before.max(0) > 0)
-    return u[v], v
+    u = (len(before) - 1 - before[::-1].argmax(0))[v]
+    return u, v, before[u, v]
 
 
-def _all_pairs(estimates: np.ndarray, key: tuple, label: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that may be similar and aren't in one component yet; those inside a block only where the block meets itself."""
+def _across(rows: list, key: tuple, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components that may be similar, with 0; if they are more than DENSE a text, a forest over them instead, with -1. Pairs inside a block are looked at only where the block meets itself."""
+    estimates = _estimates([r[4] for r in rows], np.array([r[1] for r in rows], np.float32), percent)
+    label, own = (np.array([r[c] for r in rows], np.int64) for c in (2, 3))
     wanted = (estimates > 0) & (label[:, None] != label[None, :])
     if key[1] != key[2]:
         wanted &= own[:, None] != own[None, :]
-    return np.nonzero(np.triu(wanted, 1))
+    if np.count_nonzero(wanted) > 2 * DENSE * np.count_nonzero(wanted.any(1)):
+        u = _forest(wanted)
+        v = np.flatnonzero(u != np.arange(len(u)))
+        return u[v], v, np.full(len(v), -1.0)
+    u, v = np.nonzero(np.triu(wanted, 1))
+    return u, v, np.zeros(len(u))
 
 
-def _pairer(picked, percent: int):
-    """A function over rows (value, i, j, node, n, label, own, values), sorted by the first three: the pairs (u, v, estimate) that ``picked`` takes from each key's rows."""
+def _joined(rows: list, key: tuple, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest over the pairs that are similar on full sets."""
+    n = np.array([r[1] for r in rows], np.float32)
+    c = _common([r[4] for r in rows])
+    u = _forest((c > 0) & (100 * c >= percent * (n[:, None] + n[None, :] - c)))
+    v = np.flatnonzero(u != np.arange(len(u)))
+    return u[v], v, np.ones(len(v))
 
-    def pairs(key: tuple, rows: list) -> tuple:
-        nodes, first = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True)
-        n, label, own = (np.array([rows[i][c] for i in first], np.int64) for c in (1, 2, 3))
-        estimates = _estimates([rows[i][4] for i in first], n.astype(np.float32), percent)
-        u, v = picked(estimates, key, label, own)
-        return nodes[u], nodes[v], estimates[u, v].astype(np.float64)
+
+def _pairer(picked, percent: int):
+    """A function over rows (value, i, j, node, n, label, own, values), sorted by the first three: the pairs (u, v, score) that ``picked`` takes from each key's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows = None, {}
 
         def closed() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(key, rows)], ["u", "v", "estimate"])
+                sorted_rows = [rows[x] for x in sorted(rows)]
+                nodes = np.array(sorted(rows), np.int64)
+                u, v, score = picked(sorted_rows, key, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v]), pa.array(score.astype(np.float64))], ["u", "v", "score"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(7)]
@@ -120,18 +147,18 @@ def _pairer(picked, percent: int):
             for r, k in enumerate(zip(*columns[:3])):
                 if k != key:
                     yield from closed()
-                    key, rows = k, []
-                rows.append((*(c[r] for c in columns[3:]), flat[off[r] : off[r + 1]].copy()))
+                    key, rows = k, {}
+                rows[columns[3][r]] = (*(c[r] for c in columns[3:]), flat[off[r] : off[r + 1]].copy())
         yield from closed()
 
     return run
 
 
 def _pairs(rows: DataFrame, picked, percent: int) -> DataFrame:
-    """rows (value, i, j, node, n, label, own, values): pairs (u, v, estimate) inside each (value, i, j), u before v."""
+    """rows (value, i, j, node, n, label, own, values): pairs (u, v, score) inside each (value, i, j), u before v."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("value", "i", "j", "node", "n", "label", "own", "values").repartition(parts, "value", "i", "j").sortWithinPartitions("value", "i", "j")
-    return dealt.mapInArrow(_pairer(picked, percent), "u long, v long, estimate double")
+    return dealt.mapInArrow(_pairer(picked, percent), "u long, v long, score double")
 
 
 def _facing(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
@@ -153,18 +180,35 @@ def _facing(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("p", F.explode(pairs)).select("value", "p.i", "p.j", "node", "label", "own")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) that are similar on their full sets. Each text in a pair is hashed once more."""
-    wanted = written(classes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", "a", "b", F.col("first.id").alias("w_id"), F.col("first.text_hash").alias("w_hash")))
+def _sets_of(nodes: DataFrame, classes: DataFrame, rows_of: DataFrame) -> DataFrame:
+    """The full shingle set of each of ``nodes`` (node): node, values. Their texts are hashed once more."""
+    wanted = written(classes.join(nodes.distinct(), "node").select("node", "a", "b", F.col("first.id").alias("w_id"), F.col("first.text_hash").alias("w_hash")))
     texts = rows_of.join(wanted.select("w_id", "w_hash").distinct(), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "a long, b long, values array<long>").groupBy("a", "b").agg(F.first("values").alias("values"))
-    sets = written(wanted.join(sets, ["a", "b"]).select("node", "values"))
+    return written(wanted.join(sets, ["a", "b"]).select("node", "values"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are similar on their full sets."""
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), classes, rows_of)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("values").alias(f"{name}_set"))
     both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("u_set", "v_set")).cast("long")
     return written(both.where(100 * common >= percent * (F.size("u_set") + F.size("v_set") - common)).select("u", "v"))
 
 
+def _verified_whole(edges: DataFrame, classes: DataFrame, rows_of: DataFrame, percent: int) -> DataFrame:
+    """Links inside the groups that ``edges`` (u, v) connect, each group compared as a whole on full sets: in pairs of blocks, of which each text's set goes to every one of its own."""
+    members = written(components(edges).join(classes, "node").select(F.col("root").alias("value"), "node", "n"))
+    total = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
+    total = written(total.select("value", F.ceil(F.greatest(F.col("size") / BLOCK_NODES, F.col("held") / BLOCK_VALUES)).cast("int").alias("blocks")))
+    rows = members.join(total, "value").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    rows = rows.withColumn("p", F.explode(meet)).select("value", "p.i", "p.j", "node", "n", F.col("node").alias("label"), "own")
+    sets = _sets_of(members.select("node"), classes, rows_of)
+    return written(_pairs(rows.join(sets, "node"), _joined, percent).select("u", "v").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of near duplicates: id, text_hash, n_shingles, component_id, kept (id = component_id), stays (one row of each group), and the columns ``carry``.
 
@@ -177,10 +221,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
        enough to meet: values that many texts share head a list only for texts made of little else.
     3. In each list (in blocks of it, where it is long), each text is paired with the one before it that the estimate over the union of both sketches has as closest. Of all
        lists, the closest one counts: one pair a text. Those pairs are verified on full sets, which already joins nearly all texts that belong together.
-    4. What remains are pairs between components: lists with texts of several components are compared across them, and all pairs that pass the estimate are verified on full sets.
+    4. What remains are pairs between components: lists with texts of several components are compared across them. All pairs that pass the estimate are verified on full sets one by one,
+       but for lists in which they are many (more than DENSE a text): the groups that those connect are compared as a whole, each set sent once to each pair of blocks of its group.
 
     A pair with J >= 0.75 is missed by the estimate with probability 1e-5 or less; no list, group or partner is capped. Work is linear in the texts of a group of
-    close texts; of texts that are near by estimate (0.375 or more) and not joined, each pair costs a verification, as nothing else can tell them apart.
+    close texts, and in the pairs that overlap where these are few. Only texts that are all near by estimate (0.375 or more) and yet not joined cost a comparison a pair, as nothing else can tell them apart; tasks return
+    forests of these, so nothing quadratic is written.
     """
     carried = [f"carried_{c}" for c in carry]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(o) for c, o in zip(carry, carried)], F.col(text).alias("text"))
@@ -199,13 +245,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sizes = written(sizes.select("value", F.ceil(F.col("size") / BLOCK_NODES).alias("blocks")))
     block = F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int")
     dealt = lists.join(sizes, "value").select("value", block.alias("i"), block.alias("j"), "node", F.col("node").alias("label"), block.alias("own"))
-    closest = _pairs(dealt.join(nodes, "node"), _closest, percent).groupBy("v").agg(F.max(F.struct("estimate", "u")).alias("x"))
+    closest = _pairs(dealt.join(nodes, "node"), _closest, percent).groupBy("v").agg(F.max(F.struct("score", "u")).alias("x"))
     closest = written(closest.select("x.u", "v"))
     rows_of = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     links = _verified(closest, classes, rows_of, percent)
     across = _facing(lists, written(components(links)), BLOCK_NODES).join(nodes, "node")
-    across = written(_pairs(across, _all_pairs, percent).select("u", "v").distinct().join(closest, ["u", "v"], "left_anti"))
-    links = links.unionByName(_verified(across, classes, rows_of, percent))
+    across = written(_pairs(across, _across, percent).distinct())
+    single, whole = across.where("score = 0").select("u", "v").join(closest, ["u", "v"], "left_anti"), across.where("score < 0").select("u", "v")
+    for pairs, verify in ((single, _verified), (whole, _verified_whole)):
+        if not pairs.isEmpty():
+            links = links.unionByName(verify(pairs, classes, rows_of, percent))
 
     found = components(links)
     of = classes.join(found, "node", "left").select("a", "b", F.coalesce("root", "node").alias("root"), "first")
