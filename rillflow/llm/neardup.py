@@ -182,8 +182,8 @@ def _facing(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
 
 def _sets_of(nodes: DataFrame, classes: DataFrame, rows_of: DataFrame) -> DataFrame:
     """The full shingle set of each of ``nodes`` (node): node, values. Their texts are hashed once more."""
-    wanted = written(classes.join(nodes.distinct(), "node").select("node", "a", "b", F.col("first.id").alias("w_id"), F.col("first.text_hash").alias("w_hash")))
-    texts = rows_of.join(wanted.select("w_id", "w_hash").distinct(), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left_semi").select("text")
+    wanted = written(classes.join(nodes.distinct(), "node").select("node", "a", "b", F.col("first.place").alias("place")))
+    texts = rows_of.join(wanted.select("place"), "place", "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "a long, b long, values array<long>").groupBy("a", "b").agg(F.first("values").alias("values"))
     return written(wanted.join(sets, ["a", "b"]).select("node", "values"))
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(o) for c, o in zip(carry, carried)], F.col(text).alias("text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     rows = written(rows.mapInArrow(_sketched, f"{kinds}, n long, a long, b long, sketch array<long>").withColumn("rid", F.monotonically_increasing_id()))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "text_hash")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid", F.xxhash64("id", "text_hash").alias("place"))
     classes = written(rows.where("n > 0").groupBy("a", "b").agg(F.min("rid").alias("node"), F.min(rank).alias("first"), F.max("n").alias("n")))
     nodes = written(rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.col("sketch").alias("values")))
 
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     dealt = lists.join(sizes, "value").select("value", block.alias("i"), block.alias("j"), "node", F.col("node").alias("label"), block.alias("own"))
     closest = _pairs(dealt.join(nodes, "node"), _closest, percent).groupBy("v").agg(F.max(F.struct("score", "u")).alias("x"))
     closest = written(closest.select("x.u", "v"))
-    rows_of = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    rows_of = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text)).alias("place"), F.col(text).alias("text"))
     links = _verified(closest, classes, rows_of, percent)
     across = _facing(lists, written(components(links)), BLOCK_NODES).join(nodes, "node")
     across = written(_pairs(across, _across, percent).distinct())
