@@ -40,17 +40,33 @@ def every_n_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return out.where(F.col("__n") == n).drop("__n")
 
 
-def block_prefix_max(df: DataFrame, order: str, value: str, name: str, blocks: int = 256) -> DataFrame:
+def block_of(df: DataFrame, column: str, rows_per_block: int = 20_000, most: int = 16_384) -> Column:
+    """Number of the block of a row: ``column`` (a whole number) is cut at approximate quantiles into blocks of about ``rows_per_block`` rows, larger ones where that would be more than ``most`` blocks.
+
+    Blocks are in the order of the column, and equal values are in one block. Skew in the column makes no large block, unless one value is that frequent. The cuts go to the tasks as a literal; how well
+    they hit the quantiles changes the size of blocks only.
+    """
+    blocks = min(max(1, -(-df.count() // rows_per_block)), most)
+    if blocks == 1:
+        return F.lit(0)
+    found = df.stat.approxQuantile(column, [i / blocks for i in range(1, blocks)], max(1 / (4 * blocks), 1e-5))
+    cuts = sorted({int(c) for c in found})
+    mid = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(F.lit(cuts), mid(s)) <= F.col(column), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step)["lo"]
+
+
+def block_prefix_max(df: DataFrame, order: str, value: str, name: str, rows_per_block: int = 20_000, blocks_per_group: int = 1024) -> DataFrame:
     """Adds the maximum of ``value`` over all rows before a row in ``order`` (a whole number), without a window over the whole table.
 
-    The range of ``order`` is cut into blocks; the maxima of blocks (``blocks`` rows at most) are scanned and broadcast, and a window runs inside each block.
+    Maxima of blocks (see ``block_of``) are scanned over groups of blocks, then over the blocks of a group, and then inside each block.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    df = df.withColumn("__block", F.expr(f"({order} - {low or 0}) div {width}"))
-    tops = df.groupBy("__block").agg(F.max(value).alias("__top"))
-    w = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("__block", F.max("__top").over(w).alias("__before"))
-    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("__in", F.max(value).over(inside)).join(F.broadcast(tops), "__block")
-    return out.withColumn(name, F.greatest("__in", "__before")).drop("__block", "__in", "__before")
+    df = df.withColumn("__block", block_of(df, order, rows_per_block))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy("__block").agg(F.max(value).alias("__top")).withColumn("__group", F.expr(f"__block div {blocks_per_group}"))
+    wide = tops.groupBy("__group").agg(F.max("__top").alias("__wide"))
+    wide = wide.select("__group", F.max("__wide").over(before(Window.orderBy("__group"))).alias("__wide"))
+    tops = tops.select("__block", "__group", F.max("__top").over(before(Window.partitionBy("__group").orderBy("__block"))).alias("__before")).join(wide, "__group")
+    inside = before(Window.partitionBy("__block").orderBy(order))
+    out = df.withColumn("__in", F.max(value).over(inside)).join(tops, "__block")
+    return out.withColumn(name, F.greatest("__in", "__before", "__wide")).drop("__block", "__in", "__before", "__wide", "__group")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import block_of
+
 
 def micros(c: str) -> Column:
     """Microseconds since the epoch of a timestamp column with or without zone."""
@@ -32,20 +34,29 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(right, [*keys, "window_start", "window_end"], how)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, values: list[str], rows_per_block: int = 1_000_000) -> DataFrame:
     """Each left row with ``values`` of the right row of its key that has the greatest rt <= lt, else nulls.
 
-    One shuffle on the keys: both sides in one table, in time order with right rows first, and the last right row carried forward.
-    Of right rows with one time, the one greatest by ``values`` counts. Rows with a null key or time match nothing. A key's rows pass
-    through one task, sorted on disk if need be and read once, never held together.
+    One shuffle of the rows: both sides in one table, in time order with right rows first, and the last right row carried forward.
+    Of right rows with one time, the one greatest by ``values`` counts. Rows with a null key or time match nothing. Beyond ``rows_per_block`` left rows, time is cut into blocks, so
+    that a key with a large share of all rows is many tasks' work; the last right row of each key and block, a narrow table, is carried to later blocks.
     """
     names = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__l"), F.lit(None).alias("__r"))  # noqa: E741
     r = right.where(F.col(rt).isNotNull()).select(*keys, F.col(rt).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    at = F.unix_micros(F.col("__t").cast("timestamp")) if "timestamp" in dict(left.dtypes)[lt] else F.col("__t").cast("long")
+    block = block_of(l.select(at.alias("__at")), "__at", rows_per_block)
+    both = l.unionByName(r).withColumn("__at", at).withColumn("__block", block)
+    w = Window.partitionBy(*keys, "__block").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    lasts = both.where("__side = 0").groupBy(*keys, "__block").agg(F.max(F.struct("__t", "__r")).alias("x"))
+    blocks = both.select(*keys, "__block").distinct()
+    carried = blocks.join(lasts, [*keys, "__block"], "left")
+    over = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select(*keys, "__block", F.last("x.__r", ignorenulls=True).over(over).alias("__c")).where("__c is not null")
+    out = found.join(carried, [*keys, "__block"], "left").withColumn("__m", F.coalesce("__m", "__c"))
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("__t").isNotNull())
-    return both.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in names], *[F.when(known, F.col(f"__m.{c}")).alias(c) for c in values])
+    return out.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in names], *[F.when(known, F.col(f"__m.{c}")).alias(c) for c in values])
 
 
 def lookup_join(left: DataFrame, dim: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:

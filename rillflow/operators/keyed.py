@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,40 +75,19 @@ def snapshot(log: DataFrame, keys: list[str], version: str, upto: int, op: str =
 
 
 def between_snapshots(log: DataFrame, keys: list[str], version: str, after: int, upto: int, op: str = "op") -> DataFrame:
-    """Rows that differ between two versions: keys, kind ('+' new or changed to, '-' gone or changed from) and the columns."""
-    a, b = (snapshot(log, keys, version, v, op).drop(version) for v in (after, upto))
-    return b.exceptAll(a).withColumn("kind", F.lit("+")).unionByName(a.exceptAll(b).withColumn("kind", F.lit("-")))
-
-
-def upsert_write(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], version: list[str], partition: str, mode: str = "copy") -> None:
-    """Write rows into a partitioned Parquet table at ``path``: mode 'copy' rewrites the partitions they touch, mode 'delta' appends them, to be merged by readers (``read_merged``).
-
-    A rewrite goes to a new folder first, as Spark can't overwrite what it reads.
-    """
-    if mode == "delta":
-        rows.write.mode("append").partitionBy(partition).parquet(f"{path}/delta")
-        return
-    try:
-        base = spark.read.parquet(f"{path}/base")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = upsert_latest(rows, keys, version)
-        rows.write.partitionBy(partition).parquet(f"{path}/base")
-        return
-    touched = rows.select(partition).distinct()
-    merged = upsert(base.join(touched, partition, "left_semi"), rows, keys, version)
-    stage = f"{path}/stage"
-    merged.write.mode("overwrite").partitionBy(partition).parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(f"{path}/base")
-
-
-def read_merged(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> DataFrame:
-    """Base and deltas of a table as one state."""
-    return upsert(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/delta"), keys, version)
-
-
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a table with their sizes and times, newest first: its history as far as files tell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length", "modificationTime").orderBy(F.desc("modificationTime"), "path")
+    """Rows that differ between two versions: keys, kind ('+' new or changed to, '-' gone or changed from) and the columns. The log is folded once, into both states of each key."""
+    rest = [c for c in log.columns if c not in (*keys, version, op)]
+    held = F.struct(F.col(op).alias("__op"), *rest)
+    at = lambda v: F.max_by(held, F.when(F.col(version) <= v, F.col(version)))
+    both = log.where(F.col(version) <= max(after, upto)).groupBy(*keys).agg(at(after).alias("__a"), at(upto).alias("__b"))
+    state = lambda c: F.when(F.col(f"{c}.__op") != "d", F.struct(*[F.col(f"{c}.{x}").alias(x) for x in rest]))
+    both = both.select(*keys, state("__a").alias("__a"), state("__b").alias("__b")).where(~F.col("__a").eqNullSafe(F.col("__b")))
+    sides = F.array(F.struct(F.lit("+").alias("kind"), F.col("__b").alias("x")), F.struct(F.lit("-").alias("kind"), F.col("__a").alias("x")))
+    out = both.select(*keys, F.explode(sides).alias("s")).where("s.x is not null")
+    order = [c for c in log.columns if c not in (version, op)]
+    return out.select(*[F.col(c) if c in keys else F.col(f"s.x.{c}").alias(c) for c in order], "s.kind")
+
+
+def history(log: DataFrame, version: str) -> DataFrame:
+    """The versions of a table that holds all its changes: version and n, its rows."""
+    return log.groupBy(version).agg(F.count(F.lit(1)).alias("n"))

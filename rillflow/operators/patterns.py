@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import timer_chain
+
 
 def v_shape(df: DataFrame, keys: list[str], ts: str, price: str) -> DataFrame:
     """START DOWN+ UP: keys, start_ts, bottom_ts, end_ts of each match, resumed at its last row.
@@ -23,13 +25,19 @@ def v_shape(df: DataFrame, keys: list[str], ts: str, price: str) -> DataFrame:
 def followed_elsewhere(df: DataFrame, keys: list[str], ts: str, place: str, within: str) -> DataFrame:
     """e1 e2+ WITHIN: from each row, the longest run of rows right after it with another ``place`` than its own and less than ``within`` later: keys, start_ts, end_ts, n. Tried from every row.
 
-    Each row gathers only the rows of its key inside the time range, so memory is bounded by the densest range.
+    The run ends before the next row of the row's own place (or of no place) and before the time limit, whichever is first: each is one look ahead in a sorted window, and rows are numbered, so
+    nothing is gathered.
     """
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
+    order = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col(place).isNull(), place)))
     length = df.sparkSession.range(1).select(F.expr(f"cast(unix_micros(timestamp'1970-01-01 00:00:00+00:00' + interval {within}) as bigint)")).first()[0]
-    near = F.collect_list(F.struct(F.col(ts).alias("t"), F.col(place).alias("p"))).over(w.rangeBetween(1, length - 1))
-    run = F.aggregate("__near", F.struct(F.lit(True).alias("on"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(df.dtypes)[ts]).alias("end")), lambda a, x: F.when(a["on"] & (x["p"] != F.col(place)), F.struct(F.lit(True).alias("on"), (a["n"] + 1).alias("n"), x["t"].alias("end"))).otherwise(F.struct(F.lit(False).alias("on"), a["n"].alias("n"), a["end"].alias("end"))))
-    return df.withColumn("__near", near).withColumn("__run", run).where("__run.n > 0").select(*keys, F.col(ts).alias("start_ts"), F.col("__run.end").alias("end_ts"), F.col("__run.n").alias("n"))
+    near = w.rangeBetween(1, length - 1)
+    back = Window.partitionBy(*keys, place).orderBy(order).rangeBetween(1, length - 1)
+    rows = numbered.withColumns({"__from": F.min("__rn").over(near), "__to": F.max("__rn").over(near), "__same": F.min("__rn").over(back), "__none": F.min(F.when(F.col(place).isNull(), F.col("__rn"))).over(near)})
+    rows = rows.withColumn("__last", F.least("__to", F.col("__same") - 1, F.col("__none") - 1)).where(F.col(place).isNotNull() & (F.col("__last") >= F.col("__from")))
+    ends = numbered.select(*keys, F.col("__rn").alias("__last"), F.col(ts).alias("end_ts"))
+    return rows.join(ends, [*keys, "__last"]).select(*keys, F.col(ts).alias("start_ts"), "end_ts", (F.col("__last") - F.col("__from") + 1).cast("long").alias("n"))
 
 
 def consecutive(df: DataFrame, keys: list[str], order: list[str], ts: str, hit: Column, times: int = 3) -> DataFrame:
@@ -50,13 +58,14 @@ def relaxed_times(df: DataFrame, keys: list[str], order: list[str], ts: str, hit
 
 
 def rising_alerts(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int) -> DataFrame:
-    """Alerts while values rise without a break: keys, alert_ts, at each whole multiple of ``seconds`` since the first rise of a run that lies before the run's end.
+    """Alerts while values rise without a break: keys, alert_ts.
 
-    A run starts at a row above the one before; the row that doesn't rise ends it and cancels the timer.
+    A row above the one before (the first row of a key too) arms a timer ``seconds`` later if none is armed; a row that isn't above cancels it. When the timer fires, there is an alert, and the next rising row arms it again. A
+    timer due at the time of the row that breaks the run still fires; at the end of the input, those due by the run's last row fire.
     """
     w = Window.partitionBy(*keys).orderBy(ts)
-    rows = df.withColumn("__rise", F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False))).withColumn("__next", F.lead(ts).over(w))
-    rows = rows.withColumn("__run", F.sum(F.when(~F.col("__rise"), 1).otherwise(0)).over(w))
-    runs = rows.where("__rise").groupBy(*keys, "__run").agg(F.min(ts).alias("a"), F.max(F.coalesce("__next", ts)).alias("b"))
-    every = F.expr(f"sequence(a + interval {seconds} seconds, b, interval {seconds} seconds)")
-    return runs.where(F.expr(f"a + interval {seconds} seconds <= b")).select(*keys, F.explode(every).alias("alert_ts"))
+    rows = df.withColumn("__rise", F.coalesce(F.col(value) > F.lag(value).over(w), F.row_number().over(w) == 1)).withColumn("__next", F.lead(ts).over(w))
+    rows = rows.withColumn("__run", F.sum(F.when(~F.col("__rise"), 1).otherwise(0)).over(w)).where("__rise")
+    ends = rows.groupBy(*keys, "__run").agg(F.max(F.coalesce("__next", ts)).alias("__end"))
+    ticks = timer_chain(rows.select(*keys, "__run", ts), [*keys, "__run"], ts, seconds)
+    return ticks.join(ends, [*keys, "__run"]).where("fired <= __end").select(*keys, F.col("fired").alias("alert_ts"))

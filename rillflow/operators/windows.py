@@ -89,28 +89,71 @@ def periodic_trigger(df: DataFrame, keys: list[str], ts: str, size: str, every:
 def timer_chain(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """Ticks of a timer armed by the first row of a key, that fires ``seconds`` later and is armed again by the next row: keys, armed, fired, n (rows of the key before the fire), m (rows since armed).
 
-    A greedy scan over the times of one key, so one task sees one key's times (two columns, sorted); give a finer key where one has too many.
+    A greedy scan over the times of each key in order. Keys are sorted in their partitions (on disk where need be) and streamed through a function that remembers one armed timer, so memory is a
+    batch of two columns, however many rows a key has; the rows of one key are read by one task.
     """
     import numpy as np
     import pandas as pd
 
     kinds = dict(df.dtypes)
+    names = [*keys, "armed", "fired", "n", "m"]
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "armed long, fired long, n long, m long"])
     step = int(seconds * 1_000_000)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["__t"].to_numpy())
-        out, i = [], 0
-        while i < len(t):
-            j = int(np.searchsorted(t, t[i] + step, "left"))
-            out.append((t[i], t[i] + step, j, j - i))
-            i = j
-        got = pd.DataFrame(out, columns=["armed", "fired", "n", "m"])
-        for c in keys:
-            got.insert(0, c, pdf[c].iloc[0])
-        return got[[*keys, "armed", "fired", "n", "m"]]
-
-    times = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
-    ticks = times.groupBy(*keys).applyInPandas(scan, schema)
-    kind = kinds[ts]
-    return ticks.withColumns({c: F.timestamp_micros(c).cast(kind) for c in ("armed", "fired")})
+    def scan(batches):
+        key, armed, seen, base = None, None, 0, 0
+        for pdf in batches:
+            out = []
+            new = np.zeros(len(pdf), bool)
+            new[:1] = True
+            for k in keys:
+                s, last = pdf[k], pdf[k].shift()
+                new |= ~((s == last) | (s.isna() & last.isna())).to_numpy()
+            cuts = [*np.flatnonzero(new), len(pdf)]
+            times = pdf["__t"].to_numpy()
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = tuple(None if pd.isna(pdf[k].iloc[lo]) else pdf[k].iloc[lo] for k in keys)
+                if armed is None or own != key:
+                    if armed is not None:
+                        out.append((*key, armed, armed + step, seen, seen - base))
+                    key, armed, seen, base = own, times[lo], 0, 0
+                t = times[lo:hi]
+                j = int(np.searchsorted(t, armed + step, "left"))
+                while j < len(t):
+                    out.append((*key, armed, armed + step, seen + j, seen + j - base))
+                    armed, base = t[j], seen + j
+                    j = int(np.searchsorted(t, armed + step, "left"))
+                seen += len(t)
+            yield pd.DataFrame(out, columns=names)
+        if armed is not None:
+            yield pd.DataFrame([(*key, armed, armed + step, seen, seen - base)], columns=names)
+
+    times = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t")).where("__t is not null")
+    ticks = times.repartition(*keys).sortWithinPartitions(*keys, "__t").mapInPandas(scan, schema)
+    return ticks.withColumns({c: F.timestamp_micros(c).cast(kinds[ts]) for c in ("armed", "fired")})
+
+
+def counted_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl: float, name: str = "n") -> DataFrame:
+    """Adds the rows of a key so far, counted anew where ``ttl`` seconds or more have passed since the row before, as a count that expires does."""
+    w = Window.partitionBy(*keys).orderBy("__t", tie)
+    rows = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = rows.withColumn("__new", F.coalesce((F.col("__t") - F.lag("__t").over(w) >= int(ttl * 1_000_000)).cast("int"), F.lit(0))).withColumn("__life", F.sum("__new").over(w))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__life").orderBy("__t", tie)).cast("long")).drop("__t", "__new", "__life")
+
+
+def last_rows_ticks(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: float, n: int, until=None) -> DataFrame:
+    """A global window that fires ``seconds`` after a key's first row, and then each ``seconds`` and 1 ms after the fire before, with or without new rows, and holds the last ``n`` rows: each row once for every fire that finds it, with fired.
+
+    Rows are in order of ``ts`` and ``tie``; a fire finds those before it. Fires go on to the newest time of the table, or to ``until`` in microseconds. Fires are at fixed steps from
+    the first row, so a row is found by those after it and not after the n-th row that follows: a range of steps by one look ahead.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    end = until if until is not None else df.agg(F.max(at)).first()[0]
+    step, wait = int(seconds * 1_000_000) + 1000, int(seconds * 1_000_000)
+    w = Window.partitionBy(*keys).orderBy("__t", tie)
+    rows = df.withColumn("__t", at).withColumns({"__first": F.min("__t").over(Window.partitionBy(*keys)), "__then": F.lead("__t", n).over(w)})
+    since = lambda t: F.floor((t - F.col("__first") - wait) / step)  # noqa: E731  the last fire at or before a time, from 0
+    first, last = F.greatest(since(F.col("__t")) + 1, F.lit(0)), since(F.least(F.coalesce("__then", F.lit(end)), F.lit(end)))
+    rows = rows.withColumn("__k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    fired = F.timestamp_micros(F.col("__first") + wait + F.col("__k") * step).cast(dict(df.dtypes)[ts])
+    return rows.withColumn("fired", fired).drop("__t", "__first", "__then", "__k")

@@ -70,9 +70,11 @@ def cep_times_three(spark, d):
     return P.relaxed_times(events(spark, d), ["user_id"], ["ts"], "ts", F.col("event_type") == "error")
 
 
-@query("rising_run_alert", f"""with r as (select user_id, ts, value, value > lag(value) over w as up, lead(ts) over w as nt from {EV} window w as (partition by user_id order by ts)),
+@query("rising_run_alert", f"""with recursive r as (select user_id, ts, coalesce(value > lag(value) over w, row_number() over w = 1) as up, lead(ts) over w as nt from {EV} window w as (partition by user_id order by ts)),
     g as (select *, sum(case when up then 0 else 1 end) over (partition by user_id order by ts) as run from r),
-    s as (select user_id, run, min(ts) as a, max(coalesce(nt, ts)) as b from g where up group by 1, 2)
-    select user_id, unnest(range(a + interval '4 hours', b + interval '1 microsecond', interval '4 hours')) as alert_ts from s""")
+    u as (select user_id, run, ts, max(coalesce(nt, ts)) over (partition by user_id, run) as b from g where up),
+    nxt as (select a.user_id, a.run, a.ts, any_value(a.b) as b, min(c.ts) as nt from u a left join u c on c.user_id = a.user_id and c.run = a.run and c.ts >= a.ts + interval '4 hours' group by 1, 2, 3),
+    chain as (select user_id, run, min(ts) as armed, any_value(b) as b from nxt group by 1, 2 union all select n.user_id, n.run, n.nt, n.b from chain c join nxt n on n.user_id = c.user_id and n.run = c.run and n.ts = c.armed where n.nt is not null)
+    select user_id, armed + interval '4 hours' as alert_ts from chain where armed + interval '4 hours' <= b""")
 def rising_run_alert(spark, d):
     return P.rising_alerts(events(spark, d), ["user_id"], "ts", "value", 4 * 3600)

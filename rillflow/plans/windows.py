@@ -106,15 +106,27 @@ def win_global_timer(spark, d):
     return W.timer_chain(events(spark, d), ["user_id"], "ts", 6 * 3600).select("user_id", "fired", "n")
 
 
-@query("win_evictor_last_n", f"with {CHAIN.format(key='user_id')} select c.event_type as user_id, c.armed + interval '6 hours' as fired, least(20, count(*)) as kept from chain c join events e on e.user_id = c.event_type and e.ts < c.armed + interval '6 hours' group by 1, 2")
+@query("win_evictor_last_n", """with e as (select user_id, event_id, ts, min(ts) over (partition by user_id) as first, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    t as (select user_id, first + interval '1 day' + k * (interval '1 day' + interval '1 millisecond') as fired from (select distinct user_id, first from e), range(400) r(k)),
+    n as (select t.user_id, t.fired, count(*) as upto from t join e on e.user_id = t.user_id and e.ts < t.fired where t.fired <= (select max(ts) from events) group by 1, 2)
+    select n.user_id, n.fired, e.event_id from n join e on e.user_id = n.user_id and e.rn <= n.upto and e.rn > n.upto - 20""")
 def win_evictor_last_n(spark, d):
-    ticks = W.timer_chain(events(spark, d), ["user_id"], "ts", 6 * 3600)
-    return ticks.select("user_id", "fired", F.least(F.lit(20).cast("long"), "n").alias("kept"))
+    return W.last_rows_ticks(events(spark, d).select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 24 * 3600, 20).select("user_id", "fired", "event_id")
 
 
-@query("value_state_timer", f"with {CHAIN.format(key='user_id')} select c.event_type as user_id, c.armed, c.armed + interval '6 hours' as fired, count(*) as pv from chain c join events e on e.user_id = c.event_type and e.ts >= c.armed and e.ts < c.armed + interval '6 hours' group by 1, 2, 3")
+@query("value_state_timer", f"""with {CHAIN.format(key='user_id')},
+    l as (select user_id, ts, event_id, case when ts - lag(ts) over w >= interval '12 hours' then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
+    c as (select *, sum(new) over (partition by user_id order by ts, event_id) as life from l)
+    select h.event_type as user_id, h.armed, h.armed + interval '6 hours' as fired, count(*) filter (where c.life = m.life) as pv from chain h join c on c.user_id = h.event_type and c.ts < h.armed + interval '6 hours'
+      join (select h.event_type as u, h.armed as a, max(c.life) as life from chain h join c on c.user_id = h.event_type and c.ts < h.armed + interval '6 hours' group by 1, 2) m on m.u = h.event_type and m.a = h.armed group by 1, 2, 3""")
 def value_state_timer(spark, d):
-    return W.timer_chain(events(spark, d), ["user_id"], "ts", 6 * 3600).select("user_id", "armed", "fired", F.col("m").alias("pv"))
+    from ..operators.joins import asof_join
+
+    e = events(spark, d).select("user_id", "ts", "event_id")
+    ticks = W.timer_chain(e, ["user_id"], "ts", 6 * 3600).select("user_id", "armed", "fired", F.expr("fired - interval '0.000001' second").alias("before"))
+    counts = W.counted_with_ttl(e, ["user_id"], "ts", "event_id", 12 * 3600, "pv").select("user_id", "ts", "pv")
+    last = counts.groupBy("user_id", "ts").agg(F.max("pv").alias("pv"))
+    return asof_join(ticks, last, ["user_id"], "before", "ts", ["pv"]).select("user_id", "armed", "fired", "pv")
 
 
 @query("pv_by_user_url", f"with {CHAIN.format(key='user_id')} select c.event_type as user_id, c.armed + interval '6 hours' as fired, e.event_type as page, count(*) as pv from chain c join events e on e.user_id = c.event_type and e.ts < c.armed + interval '6 hours' group by 1, 2, 3")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +49,49 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return reader.load()
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 500, mode: str = "append", **options: str) -> None:
-    """Write to a JDBC table in batches."""
-    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 500, mode: str = "append", retries: int = 0, wait: float = 1.0, **options: str) -> None:
+    """Write to a JDBC table in batches of ``batch`` rows. A failed write is tried again up to ``retries`` times, after ``wait`` seconds and then twice as long each time; partitions that were committed before a failure are written again."""
+    for attempt in range(retries + 1):
+        try:
+            df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+            return
+        except Exception:
+            if attempt == retries:
+                raise
+            time.sleep(wait * 2**attempt)
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, n: int, **options: str) -> DataFrame:
+    """A JDBC table in ``n`` partitions, one for each of ``range_predicates``."""
+    return spark.read.jdbc(url, table, predicates=range_predicates(column, lower, upper, n), properties=options or None)
+
+
+def create_table(spark: SparkSession, name: str, schema: str, partitions: list[str] = (), kind: str = "parquet", path: str | None = None) -> None:
+    """A catalog table, unless it exists; with ``path`` its files lie there and stay when it is dropped."""
+    by = f" partitioned by ({', '.join(partitions)})" if partitions else ""
+    at = f" location '{path}'" if path else ""
+    spark.sql(f"create table if not exists {name} ({schema}) using {kind}{by}{at}")
+
+
+def add_partition(spark: SparkSession, name: str, **values: str) -> None:
+    """A partition of a catalog table, unless it exists."""
+    given = ", ".join(f"{k} = '{v}'" for k, v in values.items())
+    spark.sql(f"alter table {name} add if not exists partition ({given})")
+
+
+def partitions_of(spark: SparkSession, name: str) -> list[str]:
+    """The partitions of a catalog table, as column=value paths."""
+    return [r[0] for r in spark.sql(f"show partitions {name}").collect()]
+
+
+def describe(spark: SparkSession, name: str) -> DataFrame:
+    """Columns, partitions and properties of a catalog table."""
+    return spark.sql(f"describe table extended {name}")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a catalog table, if it exists."""
+    spark.sql(f"drop table if exists {name}")
 
 
 def shard_of(n: int, *columns: str) -> Column:
@@ -59,13 +100,13 @@ def shard_of(n: int, *columns: str) -> Column:
 
 
 def write_sharded(df: DataFrame, path: str, n: int, *columns: str) -> None:
-    """Rows to ``path/shard=k``, each shard from one task (salt the columns where one key is large)."""
-    df.withColumn("shard", shard_of(n, *columns)).repartition(n, "shard").write.partitionBy("shard").parquet(path)
+    """Rows to ``path/shard=k``; a shard that is larger than others is split among tasks, each of which writes a file."""
+    df.withColumn("shard", shard_of(n, *columns)).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def write_dynamic(df: DataFrame, path: str, partitions: list[str], max_records: int = 0) -> None:
-    """Write partitions derived from the rows; only those that occur are replaced."""
-    df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records).partitionBy(*partitions).parquet(path)
+    """Write partitions derived from the rows; only those that occur are replaced. Rows are gathered by partition, and adaptive execution splits partitions that are large and joins small ones."""
+    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records).partitionBy(*partitions).parquet(path)
 
 
 def write_static(df: DataFrame, path: str, partition: dict[str, str]) -> None:
@@ -131,7 +172,7 @@ def generated(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
 
 def write_files(df: DataFrame, path: str, kind: str = "parquet", buckets: list[str] | None = None, max_records: int = 0, mode: str = "append", **options: str) -> None:
     """Bulk sink: parquet, orc, text, json or avro (needs Spark's Avro package), in files of at most ``max_records`` rows, one set of folders per value of the ``buckets`` columns."""
-    writer = (df.repartition(*buckets) if buckets else df).write.format(kind).mode(mode).options(**options).option("maxRecordsPerFile", max_records)
+    writer = (df.hint("rebalance", *buckets) if buckets else df).write.format(kind).mode(mode).options(**options).option("maxRecordsPerFile", max_records)
     (writer.partitionBy(*buckets) if buckets else writer).save(path)
 
 

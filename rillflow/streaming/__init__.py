@@ -6,6 +6,7 @@ form by arrival order. Every sink function is for ``foreachBatch`` and may see a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import keyed
 from ..operators.joins import lookup_join
+from ..sources import write_jdbc
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFrame:
@@ -50,45 +52,108 @@ def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class PvTimer(StatefulProcessor):
-    """Rows of a key since its timer was armed; the first row arms it, it fires ``seconds`` of event time later and the next row arms it again."""
+    """Rows of a key: the first row arms a timer that fires ``seconds`` of event time later and tells the count so far; the next row arms it again. The count goes on, but starts anew once ``ttl`` seconds lie between two rows."""
 
-    def __init__(self, key: str, ts: str, seconds: float):
-        self.key, self.ts, self.millis = key, ts, int(seconds * 1000)
+    def __init__(self, key: str, ts: str, seconds: float, ttl: float):
+        self.key, self.ts, self.millis, self.ttl = key, ts, int(seconds * 1000), int(ttl * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("pv", "armed long, pv long")
+        self.count = handle.getValueState("pv", "pv long, last long")
+        self.timer = handle.getValueState("timer", "armed long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark passes
         times = sorted(t.value // 1_000_000 for pdf in rows for t in pdf[self.ts])
-        armed, pv = self.state.get() if self.state.exists() else (None, 0)
+        armed = self.timer.get()[0] if self.timer.exists() else None
+        pv, last = self.count.get() if self.count.exists() else (0, None)
         out = []
         for t in times:
             if armed is not None and t >= armed + self.millis:
                 self.handle.deleteTimer(armed + self.millis)
                 out.append((key[0], armed, pv))
-                armed, pv = None, 0
+                armed = None
             if armed is None:
-                armed, pv = t, 0
+                armed = t
                 self.handle.registerTimer(armed + self.millis)
-            pv += 1
-        if armed is not None:
-            self.state.update((armed, pv))
+            pv, last = (1 if last is not None and t - last >= self.ttl else pv + 1), t
+        self.timer.update((armed,))
+        self.count.update((pv, last))
         yield pd.DataFrame(out, columns=[self.key, "armed", "pv"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        armed, pv = self.state.get()
-        self.state.clear()
+        armed, pv = self.timer.get()[0], self.count.get()[0]
+        self.timer.clear()
         yield pd.DataFrame([(key[0], armed, pv)], columns=[self.key, "armed", "pv"])
 
     def close(self) -> None:
         pass
 
 
-def pv_timer(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
+def pv_timer(df: DataFrame, key: str, ts: str, seconds: float, ttl: float) -> DataFrame:
     """``PvTimer`` over a watermarked stream: key, armed (ms), pv."""
     schema = f"`{key}` {dict(df.dtypes)[key]}, armed long, pv long"
-    return df.groupBy(key).transformWithStateInPandas(PvTimer(key, ts, seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return df.groupBy(key).transformWithStateInPandas(PvTimer(key, ts, seconds, ttl), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class Tally(StatefulProcessor):
+    """A map from field values to counts for each key, told as a whole ``seconds`` of processing time after the first row that comes while no timer is armed. The map is not cleared."""
+
+    def __init__(self, key: str, field: str, seconds: float):
+        self.key, self.field, self.millis = key, field, int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "field string", "n long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            for value, n in pdf[self.field].value_counts().items():
+                before = self.counts.getValue((value,))[0] if self.counts.containsKey((value,)) else 0
+                self.counts.updateValue((value,), (before + int(n),))
+        if not self.timer.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.millis
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+        yield pd.DataFrame([], columns=[self.key, self.field, "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        yield pd.DataFrame([(key[0], k[0], v[0]) for k, v in self.counts.iterator()], columns=[self.key, self.field, "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def tally(df: DataFrame, key: str, field: str, seconds: float) -> DataFrame:
+    """``Tally`` over a stream: key, field, n."""
+    kinds = dict(df.dtypes)
+    return df.groupBy(key).transformWithStateInPandas(Tally(key, field, seconds), outputStructType=f"`{key}` {kinds[key]}, `{field}` string, n long", outputMode="Append", timeMode="ProcessingTime")
+
+
+class Folded(StatefulProcessor):
+    """An accumulator for each key, which ``add`` makes from the last one and a batch's values of the key (a pandas series), and ``result`` turns into the number told after each batch: reducing and aggregating state."""
+
+    def __init__(self, key: str, value: str, zero: tuple, add: Callable, result: Callable):
+        self.key, self.value, self.zero, self.add, self.result = key, value, zero, add, result
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("accumulator", ", ".join(f"a{i} double" for i in range(len(self.zero))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = tuple(self.state.get()) if self.state.exists() else self.zero
+        for pdf in rows:
+            held = tuple(float(x) for x in self.add(held, pdf[self.value]))
+        self.state.update(held)
+        yield pd.DataFrame([(key[0], float(self.result(held)))], columns=[self.key, "result"])
+
+    def close(self) -> None:
+        pass
+
+
+def folded(df: DataFrame, key: str, value: str, zero: tuple, add: Callable, result: Callable) -> DataFrame:
+    """``Folded`` over a stream: key, result."""
+    return df.groupBy(key).transformWithStateInPandas(Folded(key, value, zero, add, result), outputStructType=f"`{key}` {dict(df.dtypes)[key]}, result double", outputMode="Update", timeMode="None")
 
 
 class CountWindow(StatefulProcessor):
@@ -137,9 +202,10 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return write
 
 
-def upserts(path: str, keys: list[str], version: list[str], partition: str, mode: str = "copy") -> Callable[[DataFrame, int], None]:
-    """Batches upserted into a keyed table; the same batch twice changes nothing."""
-    return lambda batch, batch_id: keyed.upsert_write(batch.sparkSession, path, batch, keys, version, partition, mode)
+def upserts(path: str, keys: list[str], version: list[str], writer: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Changes of a keyed table: each batch, with one row a key, is added under ``path``; ``keyed.upsert_latest`` of what is there is the table. The same batch twice changes nothing."""
+    write = appended(path, writer)
+    return lambda batch, batch_id: write(keyed.upsert_latest(batch, keys, version), batch_id)
 
 
 def ranked(keys: list[str], order: list[Column], n: int, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -147,9 +213,15 @@ def ranked(keys: list[str], order: list[Column], n: int, write: Callable[[DataFr
     return lambda batch, batch_id: write(batch.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n), batch_id)
 
 
-def appended(path: str) -> Callable[[DataFrame, int], None]:
-    """Each batch in its own folder ``batch_id=k``, replaced if it comes again."""
-    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def appended(path: str, writer: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Each batch in its own folder ``batch_id=k``, replaced if it comes again. Several streams write into one table if each names itself as ``writer``, a folder above."""
+    base = f"{path}/writer={writer}" if writer else path
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+
+
+def to_jdbc(url: str, table: str, batch: int = 500, retries: int = 3, wait: float = 1.0, **options: str) -> Callable[[DataFrame, int], None]:
+    """Batches to a JDBC table, at least once; ``started`` with an interval flushes at that interval."""
+    return lambda rows, batch_id: write_jdbc(rows, url, table, batch, retries=retries, wait=wait, **options)
 
 
 def buffered(path: str, threshold: int, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -184,11 +256,40 @@ def late_split(path: str, ts: str, size: str, disorder: str, lateness: str, main
     return run
 
 
+class TimedDimension:
+    """A dimension for look-ups that is read again when what was read is ``ttl`` seconds old. It is kept in memory up to ``rows`` rows; a larger one is read for each batch, and Spark picks the join."""
+
+    def __init__(self, read: Callable[[SparkSession], DataFrame], ttl: float = 60, rows: int = 100_000, clock: Callable[[], float] = time.monotonic):
+        self.read, self.ttl, self.rows, self.clock = read, ttl, rows, clock
+        self.held, self.since, self.reads = None, 0.0, 0
+
+    def __call__(self, spark: SparkSession) -> DataFrame:
+        if self.held is None or self.clock() - self.since >= self.ttl:
+            if self.held is not None:
+                self.held.unpersist()
+            found = self.read(spark)
+            self.reads += 1
+            small = found.limit(self.rows + 1).count() <= self.rows
+            self.held, self.since = (found.persist() if small else None), self.clock()
+            return found
+        return self.held
+
+
 def lookup(dimension: Callable[[SparkSession], DataFrame], keys: list[str], defaults: dict[str, object], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Each batch joined to a dimension that is read anew for it, with ``defaults`` where a row is missing."""
+    """Each batch joined to a dimension, with ``defaults`` where a row is missing. ``dimension`` is read anew for each batch, or by a ``TimedDimension``."""
     return lambda batch, batch_id: write(lookup_join(batch, dimension(batch.sparkSession), keys, defaults), batch_id)
 
 
+def ruled(rules: Callable[[SparkSession], DataFrame], version: str, field: str, rule: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Rows of a batch whose ``field`` is the newest rule: the one row of ``rules`` with the greatest ``version`` is what a broadcast state would hold."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        newest = rules(batch.sparkSession).agg(F.max_by(rule, version)).first()[0]
+        write(batch.where(F.col(field) == F.lit(newest)), batch_id)
+
+    return run
+
+
 def _mark(spark: SparkSession, path: str, before: int | None = None) -> int:
     """The last value kept under ``path`` (by a batch before ``before``), -1 if there is none."""
     try:
@@ -223,3 +324,13 @@ def _run_once(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
             raise TimeoutError(f"the stream did not end in {timeout} s")
     finally:
         query.stop()
+
+
+def started(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], interval: str = "5 seconds", mode: str = "append") -> StreamingQuery:
+    """A stream that runs on in mini-batches, one each ``interval``; how many rows one takes is a limit of its source."""
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(sink).start()
+
+
+def to_console(df: DataFrame, checkpoint: str, rows: int = 20, mode: str = "append") -> StreamingQuery:
+    """A stream's batches on the driver's standard output, ``rows`` of each (for demonstrations)."""
+    return df.writeStream.outputMode(mode).format("console").option("numRows", rows).option("truncate", "false").option("checkpointLocation", checkpoint).start()
