@@ -101,10 +101,15 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """From pages (page_id, url, html): page_id, host, domain (its last two labels), declared (two or three letters of the html or content language), suffix and plain text."""
+    """From pages (page_id, url, html): page_id, host, domain (its last two labels), declared, suffix and plain text.
+
+    declared: the two or three letters of the html element's lang, else of its xml:lang, else of a meta element's content-language. suffix: a first path part of two letters, else the top-level domain.
+    Null urls, null pages and pages without any such mark have empty values; a page is read whole, however long.
+    """
     url, html = F.lower(F.coalesce("url", F.lit(""))), F.coalesce("html", F.lit(""))
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    declared = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    found = [F.regexp_extract(html, rf"(?i)<{mark}\s*[\"']?\s*([a-z]{{2,3}})\b", 1) for mark in (r"html[^>]*\slang\s*=", r"html[^>]*\sxml:lang\s*=", r"meta\s[^>]*http-equiv\s*=\s*[\"']?content-language\b[^>]*\scontent\s*=", r"meta\s[^>]*\bcontent\s*=(?=[^>]*http-equiv\s*=\s*[\"']?content-language\b)")]
+    declared = F.lower(F.coalesce(*[F.when(x != "", x) for x in found], F.lit("")))
     path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#-]|$)", 1)
     top = F.regexp_extract(host, r"\.([a-z]{2,3})$", 1)
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]{1,10};", " ")
