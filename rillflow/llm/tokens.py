@@ -20,18 +20,23 @@ END = 50256  #: end of document: the first id that the vocabulary leaves free
 WIDTH = 2  #: bytes of an id, little endian
 BLOCK_BYTES = 1 << 22
 
+SEGMENT = 1024  #: blocks whose summaries one task adds up
+
 _encoders: dict = {}
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """The tokenizer of a ranks file, read once per worker; its special strings in a text are ordinary text."""
-    if vocabulary not in _encoders:
+def encoder(ranks: bytes | None = None):
+    """The tokenizer of a ranks file's content (VOCABULARY's by default), built once per worker; its special strings in a text are ordinary text."""
+    if ranks is None:
+        with open(VOCABULARY, "rb") as f:
+            ranks = f.read()
+    name = hash(ranks)
+    if name not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _encoders[name]
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -45,12 +50,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
 
     A file's name is new for each attempt of a task, and only the files of attempts that count are named in the
     result, so a task that runs twice does no harm. ``folder`` is opened through pyarrow.fs by its address, so it can be in any store that has a driver there. A null text has no token.
+    The driver reads the ranks file (about 1 MB) and sends it to the tasks. A vocabulary with an id that isn't below ``end``, and an ``end`` that
+    takes more than 16 bits, are errors.
     """
+    with open(vocabulary, "rb") as f:
+        content = f.read()
+    top = max((int(line.split()[1]) for line in content.splitlines()), default=-1)
+    if not top < end < 1 << (8 * WIDTH):
+        raise ValueError(f"ids go up to {top}, the end of a document is {end}, and {WIDTH} bytes hold less than {1 << (8 * WIDTH)}")
+    shared = docs.sparkSession.sparkContext.broadcast(content)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, ordinal = f"{uuid.uuid4().hex}.tok", None, 0
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(shared.value).encode_ordinary
         for batch in batches:
             if out is None:
                 store, path = _store(folder)
@@ -69,18 +82,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     return written(docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"file string, ordinal long, id {kind}"))
 
 
-def scan_token_files(spark: SparkSession, folder: str, end: int = END, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Length of every document in the flat token files of a folder: (file, ordinal, n_tokens), the separator not counted.
+def scan_token_files(spark: SparkSession, folder: str, names: DataFrame | None = None, end: int = END, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Length of every document in the flat token files of a folder: (file, ordinal, n_tokens), the separator not counted. ``names`` (file) are the files that count; all by default.
 
-    Files are cut into blocks of ``block_bytes`` wherever that falls. Each block is searched on its own with one comparison over all its ids,
-    giving the lengths of documents that lie inside, and how far its first and last separators are from its ends. A running maximum over
-    the blocks of a file (the place of the last separator so far) and a running sum (separators so far) then close
-    the documents that cross blocks, however many. Ids after a file's last separator are one more document; an empty file has none.
+    Files are cut into blocks of ``block_bytes`` wherever that falls, and dealt out block by block. Each block is searched on its own with one comparison over all its ids,
+    giving the lengths of documents that lie inside, and how far its first and last separators are from its ends. A prefix scan over the blocks' summaries (the place of the last separator so
+    far, and the number of separators so far), first over segments of SEGMENT blocks and then inside them, closes
+    the documents that cross blocks, however many, and the lengths are joined to it by block. Ids after a file's last separator are one more document; an empty file has none.
     A file whose size is no multiple of ``width`` fails the job.
     """
     dtype = {2: "<u2", 4: "<u4"}[width]
     step = block_bytes // width * width
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "length")
+    if names is not None:
+        files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names.select("file").distinct(), "file", "left_semi").select("path", "length")
     blocks = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block"))
     blocks = blocks.repartition("path", "block")
 
@@ -95,12 +110,18 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, width: in
                 ends = np.flatnonzero(ids == end)
                 first = block * step // width
                 last = [int(ends[-1]) + first] if len(ends) else [None]
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([block]), pa.array([first]), pa.array([len(ids)]), pa.array([len(ends)]), pa.array([int(ends[0]) if len(ends) else None], pa.int64()), pa.array(last, pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))], ["file", "block", "first", "ids", "ends", "head", "last", "inside"])
-
-    seen = blocks.mapInArrow(run, "file string, block long, first long, ids long, ends long, head long, last long, inside array<long>")
-    w = Window.partitionBy("file").orderBy("block")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumns({"ordinal": F.coalesce(F.sum("ends").over(before), F.lit(0)), "since": F.col("first") - F.coalesce(F.max("last").over(before) + 1, F.lit(0)), "final": F.lead("block").over(w).isNull()})
+                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([block]), pa.array([first]), pa.array([(block + 1) * step >= length]), pa.array([len(ids)]), pa.array([len(ends)]), pa.array([int(ends[0]) if len(ends) else None], pa.int64()), pa.array(last, pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))], ["file", "block", "first", "final", "ids", "ends", "head", "last", "inside"])
+
+    seen = written(blocks.mapInArrow(run, "file string, block long, first long, final boolean, ids long, ends long, head long, last long, inside array<long>"))
+    short = seen.select("file", "block", F.expr(f"block div {SEGMENT}").alias("segment"), "ends", "last")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = before(Window.partitionBy("file").orderBy("segment"))
+    segments = short.groupBy("file", "segment").agg(F.sum("ends").alias("e"), F.max("last").alias("l"))
+    segments = segments.select("file", "segment", F.coalesce(F.sum("e").over(over), F.lit(0)).alias("s_ends"), F.max("l").over(over).alias("s_last"))
+    inside = before(Window.partitionBy("file", "segment").orderBy("block"))
+    short = short.select("file", "segment", "block", F.coalesce(F.sum("ends").over(inside), F.lit(0)).alias("b_ends"), F.max("last").over(inside).alias("b_last")).join(segments, ["file", "segment"])
+    short = short.select("file", "block", (F.col("s_ends") + F.col("b_ends")).alias("ordinal"), (F.coalesce("b_last", "s_last", F.lit(-1)) + 1).alias("from"))
+    seen = seen.join(short, ["file", "block"]).withColumn("since", F.col("first") - F.col("from"))
     rest = F.when(F.col("ends") > 0, F.col("first") + F.col("ids") - 1 - F.col("last")).otherwise(F.col("since") + F.col("ids"))
     none = F.array().cast("array<bigint>")
     lengths = F.concat(F.when(F.col("ends") > 0, F.array(F.col("since") + F.col("head"))).otherwise(none), "inside", F.when(F.col("final") & (rest > 0), F.array(rest)).otherwise(none))
@@ -108,10 +129,10 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, width: in
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens of each document: (id, n_tokens), from flat token files written to the shared folder and scanned there. Null ids and repeated rows are rows like others; other columns are ignored; an empty table gives no rows."""
+    """Tokens of each document: (id, n_tokens), from flat token files written to the shared folder and scanned there; files that failed attempts left there aren't read. Null ids and repeated rows are rows like others; null and empty texts have 0 tokens; a text of any length is encoded whole; other columns are ignored; an empty table gives no rows."""
     folder = shared_dir(docs.sparkSession)
     order = write_token_files(docs, folder, vocabulary, id_col=id_col, text=text)
     if order.isEmpty():
         return order.select(F.col("id").alias(id_col), F.col("ordinal").alias("n_tokens"))
-    counts = scan_token_files(docs.sparkSession, folder)
+    counts = scan_token_files(docs.sparkSession, folder, order)
     return order.join(counts.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
