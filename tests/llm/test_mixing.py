@@ -79,3 +79,44 @@ def test_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     one = mixing.mix(df.where(F.col("doc_id") == 4)).collect()
     assert [r["copies"] for r in one] == [2] or [r["copies"] for r in one] == [1]
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as hosts have, of which most are full, against resharing source by source."""
+    rng = __import__("random").Random(3)
+    sizes = {f"h{i}é": rng.choice([0, 1, 2, 10, 1000]) for i in range(600)} | {None: 50, "": 7, "Z": 10**6}
+    for some in (sizes, {s: n for s, n in sizes.items() if n < 5}, {"a": 0, "b": 0}):
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(some.items()), "source string, words long")).collect()}
+        want = brute_targets(some)
+        assert set(got) == set(want) and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+
+
+def test_rates_that_do_not_converge(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    cells = spark.createDataFrame([("a", s, 10, 900.0, 1000) for s in (2, 5, 13, 80)], "source string, size long, n long, target double, words long")
+    with pytest.raises(RuntimeError, match="did not converge"):
+        mixing.rates(cells)
+
+
+def test_copies_by_rate_and_rounding(spark):
+    """Copies of a size are its rate's, rounded with what larger sizes leave over; no two documents of one size differ by more than one."""
+    rows = [(i, "w " * (3 + i % 5), "abc"[i % 3]) for i in range(900)]
+    res = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in res if r["source"] == s]
+        sizes = sorted({r["size"] for r in own}, reverse=True)
+        lam = [0.0]
+
+        def got(x):
+            return sum(r["size"] * 2 / (1 + math.exp(-x * r["size"])) for r in own)
+
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if got(lam) < own[0]["target"] else (lo, lam)
+        carry = 0.0
+        for size in sizes:
+            copies = [r["copies"] for r in own if r["size"] == size]
+            want = len(copies) * 2 / (1 + math.exp(-lam * size)) * size + carry
+            assert abs(sum(copies) - want / size) <= 0.5 + 1e-6 and max(copies) - min(copies) <= 1
+            carry = want - sum(copies) * size

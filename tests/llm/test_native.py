@@ -240,6 +240,38 @@ def test_archive_query(spark, sf):
     assert len(got) == len(pages)
 
 
+def parsed_record(data):
+    """A record read by the format's rules alone: version line, named fields, block of Content-Length bytes, two line ends."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    version, *lines = head.decode("utf-8").split("\r\n")
+    fields = dict(re.fullmatch(r"([A-Za-z-]+): (.*)", line).groups() for line in lines)
+    n = int(fields["Content-Length"])
+    assert version == "WARC/1.1" and rest[n:] == b"\r\n\r\n" and len(lines) == len(fields)
+    for name in ("WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"):
+        assert fields[name], name
+    assert re.fullmatch(r"<[a-z]+:[^\s<>]+>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+    assert (fields["WARC-Type"] == "revisit") == ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields)
+    return fields, rest[:n]
+
+
+def test_records_are_valid_and_stable(spark):
+    """All records parse, ids are unique, every revisit refers to a response of its payload, and nothing depends on partitions."""
+    rows = [(i % 7, f"http://a/{i % 3}", "é" * (i % 4)) for i in range(80)] + [(None, None, None)] * 9 + [(5, "u\r\nx", "z" * 2_000_000)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = [sorted(bytes(r["record"]) for r in warc.archive_roundtrip(p).collect()) for p in (pages.repartition(5), pages.coalesce(1))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    records = [parsed_record(x) for x in runs[0]]
+    ids = {f["WARC-Record-ID"]: f for f, _ in records}
+    assert len(ids) == len(rows)
+    for f, block in records:
+        if f["WARC-Type"] == "revisit":
+            other = ids[f["WARC-Refers-To"]]
+            assert block == b"" and other["WARC-Type"] == "response" and other["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+        else:
+            assert "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() == f["WARC-Payload-Digest"]
+    assert warc.archive_roundtrip(pages.limit(0)).count() == 0
+
+
 def test_archive_finds_damage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")
     warc.write_archive(pages, f"{tmp_path}/a")
@@ -282,3 +314,13 @@ def test_chat_examples(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == brute_chat(turns)
         assert r["formatted_chars"] == sum(len(e["text"]) for e in ex if e["conv_id"] == c)
     assert chat.digests(chat.prefix_targets(df.limit(0))).count() == 0
+
+
+def test_chat_very_long(spark):
+    """A conversation of 3,000 turns, and a turn of 2,000,000 characters."""
+    turns = [(i, "user" if i % 100 else "assistant", f"t{i} <") for i in range(3000)]
+    long = [(0, "user", "<\\" * 1_000_000), (1, "assistant", "é" * 500_000)]
+    df = spark.createDataFrame([(1, *t) for t in turns] + [(2, *t) for t in long], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in rows_of(chat.digests(chat.prefix_targets(df)))}
+    for c, own in ((1, turns), (2, long)):
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == brute_chat(own)

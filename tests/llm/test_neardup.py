@@ -87,3 +87,37 @@ def test_odd_rows(spark):
     stays = res.where("stays").collect()
     assert len(stays) == len(rows) - 5, "one of {a b} x3, {a b c d e} x3 and {long} x2"
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_chain_of_near_texts(spark, monkeypatch):
+    """Each text is near the next (J about 0.57), none are to be linked: verifications grow with the pairs that overlap, not with the square of the chain."""
+    words = [f"c{i}" for i in range(30 * 400 + 200)]
+    rows = [(i, " ".join(words[30 * i : 30 * i + 110])) for i in range(400)]
+    counts = []
+    plain = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: counts.append(pairs.count()) or plain(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.near_duplicates(df)) == brute(rows)
+    assert sum(counts) <= 3 * len(rows), counts
+
+
+def test_one_list_in_many_blocks(spark, monkeypatch):
+    """A group of close texts much larger than a block, with outsiders in the same lists: verifications stay linear."""
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(12):
+        w = list(base)
+        for k in range(3 + 12 * i % 30, 150, 11):
+            w[k] = f"y{i}_{k}"
+        rows.append((2000 + i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 50)
+    counts = []
+    plain = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: counts.append(pairs.count()) or plain(pairs, *a))
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert counts[0] <= len(rows) and counts[1] <= 20 * len(rows), counts

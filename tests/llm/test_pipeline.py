@@ -95,3 +95,42 @@ def test_language_keeps_all_labels(spark):
     docs = spark.createDataFrame(rows, COLUMNS)
     kept = rows_of(corpus_pipeline.language(spark, docs, ""))
     assert sorted(r[0] for r in kept) == [r[0] for r in rows]
+
+
+def test_odd_tables(spark, tmp_path):
+    """No documents, no benchmark, very long texts, and columns with the names that stages use."""
+    items = spark.createDataFrame([], "item_id long, text string")
+    names = ["shard", "slot", "__id", "row_hash", "n", "times", "again", "d_id", "d_hash", "d_text", "rid", "text_hash"]
+    long = " ".join(f"abc{i % 7}d def{i}" for i in range(40_000))
+    rows = [(1, long, "en", "s"), (2, "abc def ghi " * 30, "en", "s"), (None, "abc dez ghi jkl mno " * 9, "en", None), (4, long + " end", "en", "t"), (5, None, None, None), (5, None, None, None)]
+    docs = spark.createDataFrame([(*r, 0, *range(len(names))) for r in rows], COLUMNS + "".join(f", `{n}` long" for n in names))
+    for k, some in enumerate((docs, docs.limit(0))):
+        folder = f"{tmp_path}/{k}"
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        some.write.parquet(f"{folder}/documents.parquet")
+        out = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, out, folder)
+            assert out.columns == docs.columns if i < 4 else set(out.columns) == set(docs.columns)
+            out.write.parquet(f"{folder}/out{i}")
+            out = spark.read.parquet(f"{folder}/out{i}")
+            if i == 1:
+                assert sorted(r["doc_id"] or 0 for r in out.collect()) == ([0, 1, 2] if k == 0 else [])
+        assert corpus_pipeline.run(spark, folder).count() == out.count() and (out.count() > 0) == (k == 0)
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Rows equal in id, text and source, but not in all columns, keep what is theirs, in every run."""
+    rng = random.Random(2)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame([(i, text[i], "en", "s", n) for i in range(50) for n in (1, 2, 2)], COLUMNS)
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert Counter(mixed) == Counter(corpus_pipeline.mix(spark, docs.repartition(3), "").collect())
+    assert {r["n_chars"] for r in mixed} == {1, 2} and set(mixed) <= set(docs.collect())
+
+
+def test_copies_are_scattered(spark):
+    """The mix makes copies right before the shards: they aren't neighbours."""
+    docs = spark.createDataFrame([(i // 2, f"text {i // 2}", "en", "s", 0) for i in range(4000)], COLUMNS)
+    got = sorted(rows_of(corpus_pipeline.shards(spark, docs, "").select("shard", "slot", "doc_id")))
+    assert sum(a[2] == b[2] and a[0] == b[0] for a, b in zip(got, got[1:])) <= 8

@@ -56,6 +56,46 @@ def test_evidence_fuses(spark):
     assert {r["lang"] for r in langid.identify_pages(df, empty).collect()} == {None}
 
 
+def test_declared_language_of_pages(spark):
+    pages = ['<html lang="fr">', "<HTML class=x LANG=de-AT>", '<html xml:lang="es">', '<meta http-equiv="content-language" content="it">', "<meta name=a content=b><META content='pt-BR' http-equiv=Content-Language>", "<p lang=en>", None, '<html xml:lang="nl" lang="da">', '<meta name="x" content="en">']
+    rows = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["declared"] for r in langid.page_evidence(rows).collect()}
+    assert got == dict(enumerate(["fr", "de", "es", "it", "pt", "", "", "da", ""]))
+
+
+def test_posterior_against_a_recomputation(spark):
+    """All sums and products of the fusion once more, row by row in Python, from the text likelihoods."""
+    rng = random.Random(3)
+    docs = [(i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(30)), l, "s", 0) for i, (l, a) in enumerate([("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghijkl")] * 20)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = []
+    for i in range(150):
+        a = rng.choice(["abcdef", "defghi", "ghijkl", "adgjl"])
+        host = rng.choice(["w.x.org", "v.x.org", "y.net", "", None])
+        rows.append((i, host, {"w.x.org": "x.org", "v.x.org": "x.org"}.get(host, host), rng.choice(["aa", "bb", "cc", "", None]), rng.choice(["aa", "zz", ""]), " ".join("".join(rng.choice(a) for _ in range(3)) for _ in range(rng.choice([0, 1, 2, 9])))))
+    rows.append((900, "y.net", "y.net", "aa", "", "abcdef " * 60_000))
+    df = spark.createDataFrame(rows, "id long, host string, domain string, declared string, suffix string, text string")
+    ll = {r["id"]: np.array(r["ll"]) for r in langid.text_evidence(df.select("id", "text"), model, "text").collect()}
+    post = {i: np.exp(x) / np.exp(x).sum() for i, x in ll.items()}
+    row = {r[0]: [x or "" for x in r[1:5]] for r in rows}
+    whole = sum(post.values())
+    prior = (whole + 0.5) / (whole + 0.5).sum()
+    for r in langid.fused(df, model, "id", "text").collect():
+        i = r["id"]
+        host, domain, declared, suffix = row[i]
+        score = ll[i].copy()
+        for c, value in ((2, declared), (3, suffix)):
+            same = sum(post[j] for j in row if row[j][c] == value)
+            score += np.log((same + 0.5) / (whole + 0.5 * len({x[c] for x in row.values()})))
+        smoothed = prior
+        for level in (lambda x: x[1] == domain, lambda x: x[0] == host and x[1] == domain):
+            own = np.maximum(sum(post[j] for j in row if level(row[j])) - post[i], 0)
+            smoothed = (own + 5 * smoothed) / (own.sum() + 5)
+        score += np.log(smoothed)
+        want = np.exp(score - score.max())
+        assert r["lang"] == model.languages[int(score.argmax())] and abs(r["confidence"] - 1 / want.sum()) < 1e-6
+
+
 def test_token_counts(spark, sf):
     enc = tokens.encoder()
     docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
@@ -78,6 +118,36 @@ def test_scan_stitches_blocks(spark, tmp_path, block_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("segment", [2, 3])
+def test_scan_of_one_large_file_in_segments(spark, tmp_path, monkeypatch, segment):
+    """Blocks of 32 bytes, segments of a few blocks, and documents that cross several of both."""
+    rng = np.random.default_rng(6)
+    lengths = [int(x) for x in rng.choice([0, 1, 5, 15, 16, 40, 200], 120)]
+    ids = [x for n in lengths for x in (*rng.integers(0, 50000, n), tokens.END)]
+    (tmp_path / "a.tok").write_bytes(np.array(ids, "<u2").tobytes())
+    monkeypatch.setattr(tokens, "SEGMENT", segment)
+    got = {r["ordinal"]: r["n_tokens"] for r in tokens.scan_token_files(spark, str(tmp_path), block_bytes=32).collect()}
+    assert got == dict(enumerate(lengths))
+
+
+def test_leftover_files_are_not_read(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words " * i) for i in range(9)], "doc_id long, text string")
+    order = tokens.write_token_files(df, str(tmp_path))
+    (tmp_path / "killed.tok").write_bytes(b"abc")
+    got = order.join(tokens.scan_token_files(spark, str(tmp_path), order), ["file", "ordinal"])
+    enc = tokens.encoder()
+    assert {r["id"]: r["n_tokens"] for r in got.collect()} == {i: len(enc.encode_ordinary("some words " * i)) for i in range(9)}
+    with pytest.raises(Exception, match="no whole number of ids"):
+        tokens.scan_token_files(spark, str(tmp_path)).collect()
+
+
+def test_vocabularies_that_do_not_fit(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for end in (100, 70_000):
+        with pytest.raises(ValueError, match="ids go up to"):
+            tokens.write_token_files(df, str(tmp_path), end=end)
+
+
 def test_token_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "<|endoftext|> x"), (3, "a " * 50_000), (3, "b"), (3, "b")]
     df = spark.createDataFrame([(*r, "f", 0) for r in rows], "doc_id long, text string, file string, ordinal long")
@@ -86,19 +156,28 @@ def test_token_odd_rows(spark):
     assert tokens.token_counts(df.limit(0)).count() == 0
 
 
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "".join(map(chr, range(0x2000, 0x2040)))
+
+
 def sequence(text):
-    w = WORD.findall((text or "").translate(UPPER))
+    """Shingles of the words that count: without marks at their ends, and not of marks only."""
+    w = [x.strip(MARKS) for x in WORD.findall((text or "").translate(UPPER))]
+    w = [x for x in w if x]
     return [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))] if w else []
 
 
 def brute_licenses(docs, templates, least=0.75):
+    """Best containment of passages of 2**c shingles, from every start."""
+    seqs = [(d, sequence(t)) for d, t in docs]
     out = {}
     for name, t in templates.items():
         own = set(sequence(t))
         w = 1 << (len(own) - 1).bit_length()
-        for d, text in docs:
-            seq = sequence(text)
-            best = max((len(own & set(seq[s : s + 2 * w])) / len(own) for s in range(0, len(seq), w)), default=0)
+        for d, seq in seqs:
+            if len(own.intersection(seq)) < least * len(own):
+                continue
+            hits = [i for i, x in enumerate(seq) if x in own]
+            best = max(len(own & set(seq[s : s + w])) / len(own) for s in hits)
             if best >= least:
                 out[d, name] = best
     return out
@@ -121,8 +200,16 @@ def test_license_planted(spark):
         docs.append((10 + i, " ".join([f"x{k}" for k in range(rng.randrange(300))] + w + ["end"] * rng.randrange(5))))
     docs.append((9000, "y " * 60_000 + licenses.TEMPLATES["MIT"]))
     df = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, template string, start long")
-    got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.license_hits(df).collect()}
-    assert got == brute_licenses(docs, licenses.TEMPLATES)
+    rows = licenses.license_hits(df).collect()
+    want = brute_licenses(docs, licenses.TEMPLATES)
+    texts = dict(docs)
+    for r in rows:
+        own, seq = set(sequence(licenses.TEMPLATES[r["template"]])), sequence(texts[r["doc_id"]])
+        assert seq[r["start"]] in own and len(own.intersection(seq[r["start"] : r["start"] + r["n_words"] - 4])) / len(own) == r["containment"]
+    best = {(r["doc_id"], r["template"]): r["containment"] for r in rows if r["rival"] is None}
+    assert {(r["doc_id"], r["template"]) for r in rows} == set(want) and all(want[x] == best[x] for x in best)
+    as_table = spark.createDataFrame([*licenses.TEMPLATES.items(), ("none", None)], "name string, text string")
+    assert sorted(licenses.license_hits(df, as_table).collect(), key=str) == sorted(rows, key=str)
     assert licenses.license_hits(df, {}).count() == 0 and licenses.license_hits(df.limit(0)).count() == 0
 
 
