@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: language ID, near-duplicate removal, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of docs. Rows equal in doc_id and text get the same decision.
+stage's docs. All but the last return the columns of docs, whatever their names. Rows equal in all columns stand for each other; null ids and texts and repeated rows
+are ordinary, texts of any length are read whole, and with empty documents each stage gives none, with an empty benchmark decontamination drops none.
 """
 
 from __future__ import annotations
@@ -10,27 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import decontaminate, langid, mixing, neardup, sharding
-from rillflow.llm.common import table, written
+from rillflow.llm.common import made, release, table, unused, written
 
 N_SHARDS = 16
 LEAST_CONFIDENCE = 0.5
 
 
-def _with_decision(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Join docs to decisions by doc_id and a hash of the text."""
-    decided = decided.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    both = docs.withColumn("__text", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return both.join(decided, both["doc_id"].eqNullSafe(decided["__id"]) & (both["__text"] == decided["__hash"]), how)
+def _plain(docs: DataFrame) -> list[str]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _times(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Each document as often as ``decided`` says (doc_id, text_hash, source, __rows, __times): __rows equal rows stand for each other, and make __times in all."""
-    decided = decided.where("__times > 0").withColumnRenamed("source", "__source")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    single = _with_decision(docs, written(decided.where("__rows = 1")), "inner").where(same)
-    several = _with_decision(docs, written(decided.where("__rows > 1")), "inner").where(same).dropDuplicates(["doc_id", "__text", "source"])
-    return single.unionByName(several).withColumn("__again", again).select(docs.columns)
+def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of the whole row, and that column's name."""
+    (name,) = unused(docs.columns, "row_hash")
+    whole = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return docs.withColumn(name, F.xxhash64(*whole)), name
+
+
+def _decided(docs: DataFrame, decided: DataFrame, how: str, *also: str) -> DataFrame:
+    """Join docs to decisions (doc_id, text_hash, also ...) by doc_id, a hash of the text, and further columns of docs."""
+    taken = [*docs.columns, *decided.columns]
+    i, h, text, *more = unused(taken, "d_id", "d_hash", "d_text", *[f"d_{c}" for c in also])
+    decided = decided.withColumnsRenamed({"doc_id": i, "text_hash": h, **dict(zip(also, more))})
+    both = docs.withColumn(text, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(text) == F.col(h))
+    for c, o in zip(also, more):
+        same = same & (F.col(c) == F.col(o))
+    return both.join(decided, same, how)
+
+
+def _times(docs: DataFrame, row: str, decided: DataFrame) -> DataFrame:
+    """Each row as often as ``decided`` says (doc_id, text_hash, row, n, times): n equal rows stand for each other, and make ``times`` in all."""
+    n, times, again = unused(docs.columns, "n", "times", "again")
+    decided = decided.withColumnsRenamed({"n": n, "times": times}).where(F.col(times) > 0)
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    plain = [F.col(f"`{c}`") for c in docs.columns if c != row]
+    single = _decided(docs, written(decided.where(F.col(n) == 1)), "inner", row).select(*plain, row, times)
+    several = _decided(docs, written(decided.where(F.col(n) > 1)), "inner", row).select(*plain, row, times).dropDuplicates(["doc_id", row])
+    return single.unionByName(several).withColumn(again, every).select(*plain)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,24 +56,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify_documents(docs, langid.fit(docs))
     bad = (F.col("grams") == 0) | (F.col("confidence") < LEAST_CONFIDENCE) | ((F.col("declared") != "") & (F.col("declared") != F.col("lang")))
     rejected = written(found.where(bad).select("doc_id", "text_hash").distinct())
-    return _with_decision(docs, rejected, "left_anti").select(docs.columns)
+    return _decided(docs, rejected, "left_anti").select(_plain(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
-    found = neardup.near_duplicates(docs, carry=("source",))
-    return _times(docs, found.groupBy("doc_id", "text_hash", "source").agg(F.count(F.lit(1)).alias("__rows"), F.count_if("stays").alias("__times")))
+    rows, row = _with_row(docs)
+    found = neardup.near_duplicates(rows, carry=(row,))
+    return _times(rows, row, found.groupBy("doc_id", "text_hash", row).agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("times")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _with_decision(docs, written(hits.select("doc_id", "text_hash").distinct()), "left_anti").select(docs.columns)
+    return _decided(docs, written(hits.select("doc_id", "text_hash").distinct()), "left_anti").select(_plain(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it."""
-    return _times(docs, mixing.mix(docs).groupBy("doc_id", "text_hash", "source").agg(F.count(F.lit(1)).alias("__rows"), F.sum("copies").alias("__times")))
+    rows, row = _with_row(docs)
+    return _times(rows, row, mixing.mix(rows, carry=(row,)).groupBy("doc_id", "text_hash", row).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("times")))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +96,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``. What a stage wrote for itself is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    start = made()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        release(spark, start, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
