@@ -91,7 +91,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
             for i, j, data, off in textvec.chunks(batch.column(len(names))):
                 bucket, doc = _grams(data, off)
                 n = np.bincount(doc, minlength=j - i)
-                ll = np.stack([np.bincount(doc, row[bucket], j - i) for row in logs], 1) if len(logs) else np.zeros((j - i, 0))
+                ll = np.stack([np.bincount(doc, row[bucket], j - i) for row in logs], 1).astype(np.float64) if len(logs) else np.zeros((j - i, 0))
                 ll *= np.minimum(1, GRAMS / np.maximum(n, 1))[:, None]
                 ll -= ll.max(1, keepdims=True, initial=-np.inf) if len(logs) else 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * len(logs)), pa.array(ll.ravel()))
