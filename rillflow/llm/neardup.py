@@ -16,6 +16,7 @@ K = 32  #: retained values of a sketch
 SHARED = 11  #: of K values, so many are shared by similar texts, but for one pair in a million (J = 0.75)
 BLOCK_NODES = 1024  #: texts that one task compares with as many others
 BLOCK_VALUES = 4_000_000  #: and their shingles in all, where it holds full sets
+MAP_BITS = 1 << 26  #: of the map of wanted texts that is broadcast
 DENSE = 8  #: candidate pairs a text from which a list is compared as a whole and not pair by pair
 
 
@@ -180,11 +181,23 @@ def _facing(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("p", F.explode(pairs)).select("value", "p.i", "p.j", "node", "label", "own")
 
 
+def _having(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``place`` (a 64-bit hash) is in ``wanted``, and a few more: the wanted places are bits of a map of at most MAP_BITS (8 MB), which is broadcast, so that texts aren't shuffled. Beyond what that holds, an exact join by a shuffle."""
+    n = wanted.count()
+    if 8 * n > MAP_BITS:
+        return texts.join(wanted.select("place"), "place", "left_semi")
+    bits = F.pmod("place", F.lit(1 << max(15, min(MAP_BITS.bit_length() - 1, (16 * n).bit_length()))))
+    held = wanted.select(bits.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    found = texts.withColumn("bit", bits).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(held), "bucket")
+    position = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("map", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
 def _sets_of(nodes: DataFrame, classes: DataFrame, rows_of: DataFrame) -> DataFrame:
     """The full shingle set of each of ``nodes`` (node): node, values. Their texts are hashed once more."""
     wanted = written(classes.join(nodes.distinct(), "node").select("node", "a", "b", F.col("first.place").alias("place")))
-    texts = rows_of.join(wanted.select("place"), "place", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "a long, b long, values array<long>").groupBy("a", "b").agg(F.first("values").alias("values"))
+    sets = _having(rows_of, wanted).select("text").mapInArrow(_sets, "a long, b long, values array<long>").groupBy("a", "b").agg(F.first("values").alias("values"))
     return written(wanted.join(sets, ["a", "b"]).select("node", "values"))
 
 
