@@ -48,7 +48,7 @@ def communication_matrix(counts: DataFrame, sizes: list[int], levels: int, seed:
     return node.select("block", F.col("places").alias("sent"))
 
 
-def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_range: int = 16384) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, rows_per_range: int = 4096) -> DataFrame:
     """All rows of ``docs`` with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard): a uniform shuffle whose shard sizes differ by one at most.
 
     1. Each partition is put in random order where it is and written to the shared folder, with a number for each row: the partition and the row's place in it.
