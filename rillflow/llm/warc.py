@@ -36,7 +36,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
 
     Payloads are named by SHA-256, and equal names must agree in SHA-1 and length, else the job fails. Of equal payloads of at
     least ``least_bytes`` bytes, the one with the largest page_id (of tied rows the one with the greatest record id) is a response and the
-    others revisit it; smaller ones are all responses. A record id is made of page_id, MD5 of the url and a number among rows equal in page_id, url and payload, so headers
+    others revisit it; smaller ones are all responses. A record id is made of page_id, MD5 of url and payload digest, and a number among rows equal in these, so headers
     don't depend on how the input is partitioned. ``date`` is the WARC-Date of all records, as the pages have no time of their own.
 
     A null html is an empty payload, a null url an empty
@@ -46,14 +46,14 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     url = F.coalesce("url", F.lit(""))
     rows = pages.select("page_id", url.alias("url"), F.monotonically_increasing_id().alias("rid"), F.sha2(payload, 256).alias("sha256"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
-    rows = written(rows.withColumns({"salt": F.shiftright("rid", 33), "url_md5": F.md5("url")}))
-    rows = written(_occurrence(rows, ["page_id", "url_md5", "sha256"], "salt").withColumn("own", F.struct("page_id", "url_md5", "occurrence")))
+    rows = written(rows.withColumns({"salt": F.shiftright("rid", 33), "name": F.md5(F.concat("url", F.lit(" "), "sha256"))}))
+    rows = written(_occurrence(rows, ["page_id", "name"], "salt").withColumn("own", F.struct("page_id", "name", "occurrence")))
     groups = rows.groupBy("sha256").agg(F.max("own").alias("owner"), F.min("sha1").alias("low"), F.max("sha1").alias("high"), F.min("bytes").alias("least"), F.max("bytes").alias("bytes"))
     same = (F.col("low") == F.col("high")) & (F.col("least") == F.col("bytes"))
     groups = written(groups.select("sha256", "owner", F.when(same, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("one digest, two payloads: "), "sha256")).cast("long")).alias("size")))
     joined = rows.join(groups, "sha256")
     revisit = ~F.col("own").eqNullSafe(F.col("owner")) & (F.col("size") >= least_bytes)
-    urn = lambda s: F.concat(F.lit("<urn:rillflow:"), F.coalesce(F.col(f"{s}.page_id").cast("string"), F.lit("null")), F.lit(":"), F.col(f"{s}.url_md5"), F.lit(":"), F.col(f"{s}.occurrence").cast("string"), F.lit(">"))
+    urn = lambda s: F.concat(F.lit("<urn:rillflow:"), F.coalesce(F.col(f"{s}.page_id").cast("string"), F.lit("null")), F.lit(":"), F.col(f"{s}.name"), F.lit(":"), F.col(f"{s}.occurrence").cast("string"), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
