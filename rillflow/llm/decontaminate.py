@@ -12,6 +12,7 @@ from .common import fold, words, written
 WORDS = 3  #: 64-bit words of a fingerprint
 BLOCK_BITS = 16  #: of a block of the index; a fingerprint has 64 * WORDS / BLOCK_BITS of them
 RADIUS = 47  #: of 192 bits; at similarity 0.75 a fingerprint strays further with probability 0.004, at 0.8 with 0.0003
+WINDOWS = 50_000  #: that one task fingerprints, at most about
 BROADCAST_ROWS = 1_000_000  #: item shingles up to this number are broadcast (16 MB), more are joined by a shuffle
 
 
@@ -154,6 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     cut = found.join(spots, here(found, spots)).select("id", "text_hash", "k", "n", "hw", F.explode("ranges").alias("r"))
     cut = cut.select("id", "text_hash", "k", "n", "hw", F.explode(F.sequence("r.low", "r.high")).alias("start"))
     cut = written(cut.select("id", "text_hash", "k", "n", "start", F.slice("hw", F.col("start") + 1, F.col("n")).alias("hw")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), cut.count() // WINDOWS)
+    cut = cut.repartition(parts, "id", "start")  # windows are small to store and dear to fingerprint, so their bytes must not decide on the number of tasks
     windows = every([cut.where(F.col("k") == j).withColumn("sh", _runs("hw", j)) for j in sized]).drop("hw")
     windows = written(windows.withColumn("fp", fingerprint("sh")))
 
