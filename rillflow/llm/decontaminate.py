@@ -84,7 +84,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataF
     """
     wanted = left.withColumn("b", F.explode(blocks("fp"))).select("n", "fp", "b.block", "b.value")
     entries = right.withColumn("b", F.explode(near_blocks("i_fp", radius))).select("n", "i_fp", "b.block", "b.value")
-    return wanted.join(entries.hint("shuffle_hash"), ["n", "block", "value"]).withColumn("distance", distance("fp", "i_fp")).where(F.col("distance") <= radius).select("n", "fp", "i_fp", "distance").distinct()
+    return wanted.join(entries.hint("merge"), ["n", "block", "value"]).withColumn("distance", distance("fp", "i_fp")).where(F.col("distance") <= radius).select("n", "fp", "i_fp", "distance").distinct()
 
 
 def similarity(a: Column, b: Column) -> Column:
