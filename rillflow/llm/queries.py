@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, sharding, tokens, warc
-from .common import table
+from . import chat, decontaminate, langid, licenses, mixing, neardup, periodic, quality, sharding, tokens, warc
+from .common import table, words
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,6 +69,32 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_targets(rows.unionByName(probe)))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    return periodic_digests(periodic.find_runs(repeating(docs)))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs (doc_id, text, h), where one text in ten, by ``h``, repeats a block of its words to its end."""
+    w, n, g = F.col("w"), F.size("w"), F.floor(F.col("h") / 10)
+    chosen = docs.where("h % 10 = 0").select("doc_id", "text", words(F.col("text")).alias("w"), g.alias("g")).where(n > 0)
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    block = F.slice(w, a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    made = chosen.select("doc_id", F.array_join(F.concat(F.slice(w, F.lit(1), a), again), " ").alias("text"))
+    rest = docs.where(F.coalesce(F.col("h") % 10 != 0, F.lit(True)) | (F.size(words(F.col("text"))) == 0))
+    return made.unionByName(rest.select("doc_id", "text"))
+
+
+def periodic_digests(found: DataFrame) -> DataFrame:
+    better = lambda x, r: F.when(r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -80,4 +106,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_periodic_runs": op13_periodic_runs,
 }
