@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, neardup, periodic, quality, sharding, tokens, warc
+from . import chat, decontaminate, langid, licenses, mixing, neardup, periodic, quality, sharding, substrings, tokens, trie, warc
 from .common import table, words
 from .oracles import ORACLES
 
@@ -69,6 +69,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_targets(rows.unionByName(probe)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return trie.prefix_trie(turns, convs)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
     return periodic_digests(periodic.find_runs(repeating(docs)))
@@ -106,5 +116,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
