@@ -174,7 +174,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     return fused(page_evidence(pages), model, "page_id", "plain")
 
 
-def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """Language of each document (doc_id, text, lang, source), with the source as host and lang as the declared language; adds text_hash."""
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), F.col("source").alias("host"), F.lit("").alias("domain"), label_of(F.col("lang")).alias("declared"), F.lit("").alias("suffix"), "text")
-    return fused(rows, model, "key", "text").select("key.doc_id", "key.text_hash", *[c for c in ("declared", "grams", "lang", "confidence", "text_lang")])
+def identify_documents(docs: DataFrame, model: TextModel, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Language of each document (doc_id, text, lang, source), with the source as host and lang as the declared language; adds text_hash, and keeps the columns ``carry``."""
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash"), *carry).alias("key"), F.col("source").alias("host"), F.lit("").alias("domain"), label_of(F.col("lang")).alias("declared"), F.lit("").alias("suffix"), "text")
+    return fused(rows, model, "key", "text").select("key.doc_id", "key.text_hash", *[f"key.{c}" for c in carry], *[c for c in ("declared", "grams", "lang", "confidence", "text_lang")])

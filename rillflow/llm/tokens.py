@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,21 +22,44 @@ WIDTH = 2  #: bytes of an id, little endian
 BLOCK_BYTES = 1 << 22
 
 SEGMENT = 1024  #: blocks whose summaries one task adds up
+LONG_RUN = 1_000  #: blanks in a row that the pattern isn't tried on
+#: What the pattern takes as a blank.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _encoders: dict = {}
 
 
-def encoder(ranks: bytes | None = None):
-    """The tokenizer of a ranks file's content (VOCABULARY's by default), built once per worker; its special strings in a text are ordinary text."""
+class Encoder:
+    """A byte-pair tokenizer whose special strings are ordinary text, for texts of any kind.
+
+    The pattern goes back blank by blank over a run of them, which ends the process on a very long one. There its result is known: all blanks
+    but the last are one piece (the last too at the end of the text), and what comes before and after is split as it would be anyway. So long runs are encoded as one piece, and the rest by the pattern.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], long_run: int = LONG_RUN):
+        import tiktoken
+
+        self.plain, self.whole = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for name, pattern in (("own", PATTERN), ("whole", r"(?s:.+)")))
+        self.runs = re.compile(f"{BLANK}{{{max(long_run, 2)},}}")
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for run in self.runs.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.plain(text[at : run.start()])
+            ids += self.whole(text[run.start() : end])
+            at = end
+        return ids + self.plain(text[at:]) if at else self.plain(text)
+
+
+def encoder(ranks: bytes | None = None) -> Encoder:
+    """The tokenizer of a ranks file's content (VOCABULARY's by default), built once per worker."""
     if ranks is None:
         with open(VOCABULARY, "rb") as f:
             ranks = f.read()
     name = hash(ranks)
     if name not in _encoders:
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        _encoders[name] = Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
     return _encoders[name]
 
 

@@ -129,6 +129,21 @@ def test_rows_that_differ_elsewhere(spark):
     assert {r["n_chars"] for r in mixed} == {1, 2} and set(mixed) <= set(docs.collect())
 
 
+def test_twins_of_other_languages(spark):
+    """Of rows with one id and text, the one whose declared language is wrong goes, and the right one stays."""
+    rng = random.Random(8)
+    word = {l: (lambda a: lambda: "".join(rng.choice(a) for _ in range(4)))(a) for l, a in (("en", "abcdefgh"), ("fr", "opqrstuv"))}
+    rows = []
+    for i in range(200):
+        own, other = rng.choice([("en", "fr"), ("fr", "en")])
+        text = " ".join(word[own]() for _ in range(40))
+        rows.append((i // 2, text, own, f"s{i % 3}", 0))
+        rows += [(i // 2, text, other, f"s{i % 3}", 0)] * (i % 10 == 3) + [(i // 2, text, own, f"s{i % 3}", 1)] * (i % 7 == 0)
+    kept = rows_of(corpus_pipeline.language(spark, spark.createDataFrame(rows, COLUMNS), ""))
+    right = {"en": "abcdefgh", "fr": "opqrstuv"}
+    assert Counter(kept) == Counter(r for r in rows if r[1][0] in right[r[2]])
+
+
 def test_copies_are_scattered(spark):
     """The mix makes copies right before the shards: they aren't neighbours."""
     docs = spark.createDataFrame([(i // 2, f"text {i // 2}", "en", "s", 0) for i in range(4000)], COLUMNS)

@@ -156,6 +156,30 @@ def test_token_odd_rows(spark):
     assert tokens.token_counts(df.limit(0)).count() == 0
 
 
+def test_long_runs_are_split_where_it_changes_nothing():
+    enc = tokens.encoder()
+    rng = random.Random(4)
+    with open(tokens.VOCABULARY, "rb") as f:
+        short = tokens.Encoder({__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, f)}, 2)
+    for _ in range(3_000):
+        text = "".join(rng.choice([" ", "\n", "\u00a0", "\t", "\u3000"]) * rng.choice([1, 1, 2, 3, 9]) if rng.random() < 0.6 else rng.choice(["a", "it's", "12", "!?", "é", "\x1c"]) for _ in range(rng.randrange(12)))
+        assert short.encode_ordinary(text) == enc.plain(text), repr(text)
+    for run in (" ", "\n", " \n\t"):
+        for text in (run * 30_000, "a" + run * 30_000, run * 30_000 + "b", "a" + run * 30_000 + "b c"):
+            assert enc.encode_ordinary(text) == enc.plain(text)
+
+
+def test_texts_that_never_end(spark):
+    """Runs that the pattern alone can't take, through the whole operator."""
+    texts = ["a" + " " * 5_000_000 + "b", "x" * 1_000_000, "!" * 1_000_000, "a" + " \n\t\u00a0" * 250_000 + "b", "\n" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df).collect()}
+    enc = tokens.encoder()
+    assert got[0] == len(enc.plain("a")) + len(enc.whole(" " * 4_999_999)) + len(enc.plain(" b"))
+    assert got[1] == len(enc.plain("x" * 1_000_000)) and got[2] == len(enc.plain("!" * 1_000_000))
+    assert got[3] == 1 + len(enc.whole((" \n\t\u00a0" * 250_000)[:-1])) + len(enc.plain("\u00a0b")) and got[4] == len(enc.whole("\n" * 1_000_000))
+
+
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "".join(map(chr, range(0x2000, 0x2040)))
 
 
