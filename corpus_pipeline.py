@@ -53,10 +53,11 @@ def _times(docs: DataFrame, row: str, decided: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, of a language that stays unsure, or whose declared language the evidence contradicts."""
-    found = langid.identify_documents(docs, langid.fit(docs))
+    rows, row = _with_row(docs)
+    found = langid.identify_documents(rows, langid.fit(docs), carry=(row,))
     bad = (F.col("grams") == 0) | (F.col("confidence") < LEAST_CONFIDENCE) | ((F.col("declared") != "") & (F.col("declared") != F.col("lang")))
-    rejected = written(found.where(bad).select("doc_id", "text_hash").distinct())
-    return _decided(docs, rejected, "left_anti").select(_plain(docs))
+    rejected = written(found.where(bad).select("doc_id", "text_hash", row).distinct())
+    return _decided(rows, rejected, "left_anti", row).select(_plain(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
