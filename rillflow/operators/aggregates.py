@@ -2,14 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a key beyond which its rows are dealt to several tasks.
+ROWS_PER_BLOCK = 1_000_000
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null keys being equal; of the key columns the left ones stay."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def lower_bound(sorted_array: Column, value: Column) -> Column:
+    """Index of the first element that isn't below ``value``, the array's size if there is none: a binary search. The array should be a column or a lambda's variable, as it is named in each step."""
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(sorted_array, mid(s)) < value, F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+    return F.aggregate(F.sequence(F.lit(0), F.char_length(F.bin(F.size(sorted_array)))), F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi")), step)["lo"]
+
+
+def key_blocks(df: DataFrame, keys: list[str], order: str, rows_per_block: int = ROWS_PER_BLOCK, most: int = 1024) -> DataFrame | None:
+    """``df`` with __block, which cuts the rows of large keys at approximate quantiles of ``order`` (a number or a time), or None if no key has more than ``rows_per_block`` rows.
+
+    Blocks of a key ascend with ``order``, equal values (and nulls, which come first) are in one block, and keys that aren't large have block 0. What
+    is read ahead is a count of rows by key, combined in each task. Quantiles are taken of large keys only; they are joined to the rows by key, a join whose large keys adaptive execution splits.
+    """
+    kind = dict(df.dtypes)[order]
+    if "timestamp" not in kind and kind not in ("date", "tinyint", "smallint", "int", "bigint", "float", "double") and "decimal" not in kind:
+        return None
+    value = F.unix_micros(F.col(order).cast("timestamp")) if kind == "date" or "timestamp" in kind else F.col(order).cast("long")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_block)
+    top = counts.agg(F.max("__n")).first()[0]
+    if top is None:
+        return None
+    pieces = min(-(-top // rows_per_block), most)
+    large = null_safe(df.select(*keys, value.alias("__v")), counts.select(*keys), keys)
+    cuts = large.groupBy(*keys).agg(F.percentile_approx("__v", [i / pieces for i in range(1, pieces)], 4 * pieces).alias("__cuts"))
+    rows = null_safe(df.withColumn("__v", value), cuts, keys, "left")
+    return rows.withColumn("__block", F.coalesce(lower_bound(F.col("__cuts"), F.col("__v") + 1), F.lit(0))).drop("__v", "__cuts")
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """Each row with aggregates of its key over all rows up to it. aggs: name -> aggregate column."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: a.over(w) for n, a in aggs.items()})
+#: How totals of blocks go on: the aggregate of totals, and what puts two of them together.
+_MERGES: dict[Callable, tuple] = {F.sum: (F.sum, _added), F.count: (F.sum, _added), F.max: (F.max, F.greatest), F.min: (F.min, F.least)}
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Column | tuple], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Each row with aggregates of its key over all rows up to it. aggs: name -> aggregate column, or (F.sum, F.count, F.max or F.min, column).
+
+    In the second form a key with more than ``rows_per_block`` rows is the work of many tasks: aggregates run inside blocks of its rows (``key_blocks``), totals of blocks, a
+    narrow table, are carried to later ones, and both are put together. ``order`` should tell rows apart.
+    """
+    blocked = key_blocks(df, keys, order[0], rows_per_block) if all(isinstance(a, tuple) for a in aggs.values()) else None
+    up_to = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if blocked is None:
+        return df.withColumns({n: (a[0](a[1]) if isinstance(a, tuple) else a).over(up_to(*keys)) for n, a in aggs.items()})
+    inside = blocked.withColumns({n: f(c).over(up_to(*keys, "__block")) for n, (f, c) in aggs.items()})
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys, "__block").agg(*[f(c).alias(n) for n, (f, c) in aggs.items()])
+    totals = totals.select(*keys, "__block", *[_MERGES[f][0](n).over(before).alias(f"__b_{n}") for n, (f, _) in aggs.items()])
+    out, kinds = null_safe(inside, totals, [*keys, "__block"]), dict(inside.dtypes)
+    return out.withColumns({n: _MERGES[f][1](F.col(n), F.col(f"__b_{n}")).cast(kinds[n]) for n, (f, _) in aggs.items()}).select(*df.columns, *aggs)
 
 
 def extreme_row(df: DataFrame, keys: list[str], value: str, tie: str, largest: bool = True) -> DataFrame:
@@ -31,10 +92,9 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def every_n_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, n: int, drop_nth: bool = False) -> DataFrame:
-    """Sum over each ``n`` rows of a key, emitted when full. With ``drop_nth`` the n-th row fires the sum but isn't in it."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rows = df.withColumn("__rn", rn).withColumn("block", F.floor((F.col("__rn") - 1) / n))
+def every_n_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, n: int, drop_nth: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Sum over each ``n`` rows of a key, emitted when full. With ``drop_nth`` the n-th row fires the sum but isn't in it. Rows of a large key are numbered in blocks (``running``)."""
+    rows = running(df, keys, order, {"__rn": (F.count, F.lit(1))}, rows_per_block).withColumn("block", F.floor((F.col("__rn") - 1) / n))
     counted = F.when(F.col("__rn") % n != 0, value) if drop_nth else value
     out = rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("__n"), F.sum(counted).alias("total"))
     return out.where(F.col("__n") == n).drop("__n")

@@ -25,19 +25,22 @@ def v_shape(df: DataFrame, keys: list[str], ts: str, price: str) -> DataFrame:
 def followed_elsewhere(df: DataFrame, keys: list[str], ts: str, place: str, within: str) -> DataFrame:
     """e1 e2+ WITHIN: from each row, the longest run of rows right after it with another ``place`` than its own and less than ``within`` later: keys, start_ts, end_ts, n. Tried from every row.
 
-    The run ends before the next row of the row's own place (or of no place) and before the time limit, whichever is first: each is one look ahead in a sorted window, and rows are numbered, so
-    nothing is gathered.
+    The run ends before the next row of the row's own place (or of no place) and before the time limit, whichever is first. Rows are numbered; the number of the next later row, also of one place or of none, is the least
+    one that a pass from the last row back has seen, and the time limit is looked up among the rows by one pass over both, so that the work doesn't depend on how many rows a limit spans.
     """
     order = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col(place).isNull(), place)))
     length = df.sparkSession.range(1).select(F.expr(f"cast(unix_micros(timestamp'1970-01-01 00:00:00+00:00' + interval {within}) as bigint)")).first()[0]
-    near = w.rangeBetween(1, length - 1)
-    back = Window.partitionBy(*keys, place).orderBy(order).rangeBetween(1, length - 1)
-    rows = numbered.withColumns({"__from": F.min("__rn").over(near), "__to": F.max("__rn").over(near), "__same": F.min("__rn").over(back), "__none": F.min(F.when(F.col(place).isNull(), F.col("__rn"))).over(near)})
-    rows = rows.withColumn("__last", F.least("__to", F.col("__same") - 1, F.col("__none") - 1)).where(F.col(place).isNotNull() & (F.col("__last") >= F.col("__from")))
-    ends = numbered.select(*keys, F.col("__rn").alias("__last"), F.col(ts).alias("end_ts"))
-    return rows.join(ends, [*keys, "__last"]).select(*keys, F.col(ts).alias("start_ts"), "end_ts", (F.col("__last") - F.col("__from") + 1).cast("long").alias("n"))
+    rows = df.select(*keys, F.col(ts).alias("__ts"), order.alias("__t"), F.col(place).alias("__place")).where("__t is not null")
+    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("__t", F.col("__place").isNull(), "__place")))
+    back = lambda *by: Window.partitionBy(*keys, *by).orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__from": F.min("__rn").over(back()), "__none": F.min(F.when(F.col("__place").isNull(), F.col("__rn"))).over(back())}).withColumn("__same", F.min("__rn").over(back("__place")))
+    seen = rows.select(*keys, F.col("__t").alias("__at"), F.lit(0).alias("__ask"), F.struct("__rn", "__ts").alias("__seen"), F.lit(None).alias("__row"))
+    asks = rows.where("__place is not null and __from is not null").select(*keys, (F.col("__t") + length - 1).alias("__at"), F.lit(1).alias("__ask"), F.lit(None).alias("__seen"), F.struct("__ts", "__from", "__none", "__same").alias("__row"))
+    upto = Window.partitionBy(*keys).orderBy("__at", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = seen.unionByName(asks).withColumn("__to", F.max("__seen.__rn").over(upto)).where("__ask = 1").select(*keys, "__row.*", "__to")
+    found = found.withColumn("__last", F.least("__to", F.col("__same") - 1, F.col("__none") - 1)).where("__last >= __from")
+    ends = rows.select(*keys, F.col("__rn").alias("__last"), F.col("__ts").alias("end_ts"))
+    return found.join(ends, [*keys, "__last"]).select(*keys, F.col("__ts").alias("start_ts"), "end_ts", (F.col("__last") - F.col("__from") + 1).cast("long").alias("n"))
 
 
 def consecutive(df: DataFrame, keys: list[str], order: list[str], ts: str, hit: Column, times: int = 3) -> DataFrame:

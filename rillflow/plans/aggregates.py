@@ -16,7 +16,7 @@ def _running_sql(f: str) -> str:
 
 
 def _running(spark, d, f):
-    out = A.running(events(spark, d), ["user_id"], ["event_id"], {"value": f("value")})
+    out = A.running(events(spark, d), ["user_id"], ["event_id"], {"value": (f, "value")})
     return out.select("event_id", "user_id", F.col("value").cast("double").alias("value"))
 
 
@@ -114,7 +114,7 @@ def dedup_first(spark, d):
 
 @query("running_avg", f"select event_id, cast(sum(value) over w as double) / count(*) over w as mean from {EV} window w as (partition by user_id order by event_id rows unbounded preceding)")
 def running_avg(spark, d):
-    out = A.running(events(spark, d), ["user_id"], ["event_id"], {"s": F.sum("value"), "n": F.count(F.lit(1))})
+    out = A.running(events(spark, d), ["user_id"], ["event_id"], {"s": (F.sum, "value"), "n": (F.count, F.lit(1))})
     return out.select("event_id", (F.col("s").cast("double") / F.col("n")).alias("mean"))
 
 

@@ -106,14 +106,22 @@ def win_global_timer(spark, d):
     return W.timer_chain(events(spark, d), ["user_id"], "ts", 6 * 3600).select("user_id", "fired", "n")
 
 
-@query("win_evictor_last_n", """with e as (select user_id, event_id, ts, min(ts) over (partition by user_id) as first, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+EVICTED = """with e as (select user_id, event_id, ts, min(ts) over (partition by user_id) as first, row_number() over (partition by user_id order by ts, event_id) as rn from events),
     t as (select user_id, first + interval '1 day' + k * (interval '1 day' + interval '1 millisecond') as fired from (select distinct user_id, first from e), range(400) r(k)),
     n as (select t.user_id, t.fired, count(*) as upto from t join e on e.user_id = t.user_id and e.ts < t.fired where t.fired <= (select max(ts) from events) group by 1, 2)
-    select n.user_id, n.fired, e.event_id from n join e on e.user_id = n.user_id and e.rn <= n.upto and e.rn > n.upto - 20""")
+    select {} from n join e on e.user_id = n.user_id and e.rn <= n.upto and e.rn > n.upto - 20"""
+
+
+@query("win_evictor_last_n", EVICTED.format("n.user_id, n.fired, e.event_id"))
 def win_evictor_last_n(spark, d):
     return W.last_rows_ticks(events(spark, d).select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 24 * 3600, 20).select("user_id", "fired", "event_id")
 
 
+@query("win_evictor_ranges", EVICTED.format("n.user_id, e.event_id, min(n.fired) as first_fired, max(n.fired) as last_fired, count(*) as fires") + " group by 1, 2")
+def win_evictor_ranges(spark, d):
+    return W.last_rows_ranges(events(spark, d).select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 24 * 3600, 20).select("user_id", "event_id", "first_fired", "last_fired", "fires")
+
+
 @query("value_state_timer", f"""with {CHAIN.format(key='user_id')},
     l as (select user_id, ts, event_id, case when ts - lag(ts) over w >= interval '12 hours' then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
     c as (select *, sum(new) over (partition by user_id order by ts, event_id) as life from l)

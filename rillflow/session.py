@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(name: str = "rillflow", shared: str | None = None) -> SparkSession.Builder:
@@ -33,3 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="rillflow-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rillflow/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: later steps read it again instead of computing it again, and survive lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
