@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import block_prefix_max
+from .aggregates import block_prefix_max, running
+from .joins import asof_join
 
 
 def _seen(df: DataFrame, ts: str, arrival: str, size: str | None = None) -> DataFrame:
@@ -62,3 +63,19 @@ def refire(df: DataFrame, keys: list[str], ts: str, arrival: str, size: str, dis
     had = rows.groupBy(*group).agg(F.max((F.col("__again") == 0).cast("int")).alias("__had"))
     again = rows.where("__again = 1").join(had, group).select(*group, (F.col("__later") + F.col("__had")).cast("long").alias("fire_no"), F.col("n").cast("long").alias("n"))
     return early.unionByName(again)
+
+
+def released(df: DataFrame, keys: list[str], ts: str, arrival: str, mark: Column) -> DataFrame:
+    """Rows with late and released_by, for a watermark of each key that moves with its rows.
+
+    ``mark`` is the watermark that a row announces for the rows after it, or null (``streaming.marked`` has the usual ones). A row at or before the watermark is late; others wait for the
+    first row of their key whose watermark reaches them, released_by is its ``arrival``, null if none does. The watermark is a running maximum (in blocks for large keys), its steps are
+    one row for each value, and a row's step is an as-of look-up. Rows with a null time are left out.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = df.where(F.col(ts).isNotNull()).withColumns({"__own": micros(mark), "__t": micros(F.col(ts))})
+    rows = running(rows, keys, [arrival], {"__mark": (F.max, "__own")})
+    rows = rows.withColumns({"late": F.coalesce(F.col("__t") <= F.col("__mark"), F.lit(False)), "__need": -F.col("__t")})
+    steps = rows.where("__mark is not null").groupBy(*keys, "__mark").agg(F.min(arrival).alias("released_by")).select(*keys, (-F.col("__mark")).alias("__have"), "released_by")
+    found = asof_join(rows.drop("__own", "__mark", "__t"), steps, keys, "__need", "__have", ["released_by"])
+    return found.withColumn("released_by", F.when(~F.col("late"), F.col("released_by"))).drop("__need")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lateness as L
+from ..streaming import marked
 from .base import bucket, events, query
 
 ARRIVAL = "(event_id + event_id * 37 % 11) * 16 + event_id % 16"
@@ -38,3 +39,23 @@ def late_side_output(spark, d):
     union all select event_type, window_start, later + had, n from b where again""")
 def late_allowed_refire(spark, d):
     return L.refire(arriving(spark, d), ["event_type"], "ts", "arrival", "1 hour", "10 minutes", "20 minutes").select("event_type", "window_start", "fire_no", "n")
+
+
+RELEASED = """with a as (select *, {arrival} as arrival, {mark} as own from events),
+    m as (select *, max(own) over (partition by user_id order by arrival) as wm from a),
+    l as (select *, coalesce(ts <= wm, false) as late from m)
+    select l.event_id, l.late, min(b.arrival) as released_by from l left join a b on b.user_id = l.user_id and b.arrival > l.arrival and b.own >= l.ts and not l.late group by 1, 2"""
+
+
+def _released(spark, d, mark):
+    return L.released(arriving(spark, d), ["user_id"], "ts", "arrival", mark).select("event_id", "late", "released_by")
+
+
+@query("late_punctuated", RELEASED.format(arrival=ARRIVAL, mark="case when event_type = 'purchase' then ts - interval '1 millisecond' end"))
+def late_punctuated(spark, d):
+    return _released(spark, d, marked.marked_by(F.col("event_type") == "purchase", "ts"))
+
+
+@query("late_trailing", RELEASED.format(arrival=ARRIVAL, mark="ts - interval '5 hours' - interval '1 millisecond'"))
+def late_trailing(spark, d):
+    return _released(spark, d, marked.trailing("ts", "5 hours"))

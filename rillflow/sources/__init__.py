@@ -138,8 +138,13 @@ def commit(spark: SparkSession, path: str, partitions: list[str], policy: Callab
 
 def latest_partition(df: DataFrame, column: str) -> DataFrame:
     """Rows of the greatest partition, found by a scalar subquery that Spark turns into partition pruning."""
-    df.createOrReplaceTempView("__latest")
-    return df.sparkSession.sql(f"select * from __latest where {column} = (select max({column}) from __latest)")
+    return df.where(F.col(column) == df.select(F.max(column)).scalar())
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any file system that Spark knows; False if it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def compact(spark: SparkSession, path: str, out: str, files: int) -> None:

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import keyed
 from ..operators.joins import lookup_join
-from ..sources import write_jdbc
+from ..sources import remove
+from ..sources.once import write_jdbc_once
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFrame:
@@ -95,6 +96,34 @@ def pv_timer(df: DataFrame, key: str, ts: str, seconds: float, ttl: float) -> Da
     return df.groupBy(key).transformWithStateInPandas(PvTimer(key, ts, seconds, ttl), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
+class ExpiringCount(StatefulProcessor):
+    """Rows of a key so far, told after each batch. The count is forgotten once ``ttl`` seconds of processing time lie behind its last row, and its row leaves the state store with a later batch."""
+
+    def __init__(self, key: str, ttl: float):
+        self.key, self.millis = key, int(ttl * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long", ttlDurationMs=self.millis)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n = (self.count.get()[0] if self.count.exists() else 0) + sum(len(pdf) for pdf in rows)
+        self.count.update((n,))
+        yield pd.DataFrame([(key[0], n)], columns=[self.key, "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_count(df: DataFrame, key: str, ttl: float) -> DataFrame:
+    """``ExpiringCount`` over a stream: key, n. State of idle keys is freed by the state store's own expiry."""
+    return df.groupBy(key).transformWithStateInPandas(ExpiringCount(key, ttl), outputStructType=f"`{key}` {dict(df.dtypes)[key]}, n long", outputMode="Update", timeMode="ProcessingTime")
+
+
+def state_rows(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """What a processor's state variable ``name`` holds after the last batch, read from the stream's checkpoint."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
 class Tally(StatefulProcessor):
     """A map from field values to counts for each key, told as a whole ``seconds`` of processing time after the first row that comes while no timer is armed. The map is not cleared."""
 
@@ -219,18 +248,25 @@ def appended(path: str, writer: str | None = None) -> Callable[[DataFrame, int],
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
 
 
-def to_jdbc(url: str, table: str, batch: int = 500, retries: int = 3, wait: float = 1.0, **options: str) -> Callable[[DataFrame, int], None]:
-    """Batches to a JDBC table, at least once; ``started`` with an interval flushes at that interval."""
-    return lambda rows, batch_id: write_jdbc(rows, url, table, batch, retries=retries, wait=wait, **options)
+def to_jdbc(url: str, table: str, batch: int = 500, retries: int = 3, wait: float = 1.0, writer: str = "stream", **options: str) -> Callable[[DataFrame, int], None]:
+    """Batches to a JDBC table, each row once (``sources.once``): a batch that comes again is known by its number. Streams into one table name themselves as ``writer``; ``started`` with an interval flushes at that interval."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        write_jdbc_once(rows, url, table, writer, batch_id, batch, retries, wait, **options)
+
+    return write
 
 
 def buffered(path: str, threshold: int, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Rows are held in a table at ``path`` and written once ``threshold`` are there; the buffer survives a restart."""
+    """Rows are held in a table at ``path`` and written once ``threshold`` are there; the buffer survives a restart. Batches that were written are removed with the next batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/held/batch_id={batch_id}")
         done = _mark(spark, f"{path}/done")
+        for old in range(done, -1, -1):
+            if not remove(spark, f"{path}/held/batch_id={old}"):
+                break
         rows = spark.read.parquet(f"{path}/held").where(F.col("__batch") > done)
         if rows.count() >= threshold:
             write(rows.drop("__batch", "batch_id"), batch_id)
@@ -305,6 +341,9 @@ def _mark(spark: SparkSession, path: str, before: int | None = None) -> int:
 
 def _set_mark(spark: SparkSession, path: str, batch_id: int, value: int) -> None:
     spark.range(1).select(F.lit(value).cast("long").alias("value"), F.lit(batch_id).cast("long").alias("of_batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for old in range(batch_id - 2, -1, -1):  # a batch comes again at most once the one before is done
+        if not remove(spark, f"{path}/batch={old}"):
+            break
 
 
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: int = 300, attempts: int = 1) -> None:
