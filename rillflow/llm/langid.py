@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
+from . import markup, textvec
 from .common import written
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 2000  #: labelled texts per language that the text model is fitted on, about (picked by hash); all that there are, where fewer
+MOST_LANGUAGES = 1024  #: of a model, which is sent to all tasks: 128 KB a language
 GRAMS = 100  #: a text counts as so many independent trigrams at most
 PRIOR_WEIGHT = 5.0  #: rows that a wider level of the prior weighs as
 SMOOTH = 0.5
@@ -54,10 +55,12 @@ def label_of(c: Column) -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_DOCS) -> TextModel:
-    """Fit the text model on about ``per_language`` whole texts of each label, counted in tasks and summed by language and bucket; all labels count (see ``label_of``); the table of sums, BUCKETS a language at most, comes to the driver."""
+    """Fit the text model on about ``per_language`` whole texts of each label, counted in tasks and summed by language and bucket; all labels count (see ``label_of``); the table of sums, BUCKETS a language at most, comes to the driver. More than MOST_LANGUAGES labels are an error: such a column doesn't hold languages."""
     whole = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])  # of the row, so that copies of a text are picked one by one
     rows = docs.select(label_of(F.col(label)).alias("lang"), F.col(text).alias("text"), whole.alias("row")).where("lang <> '' and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{label} has more than {MOST_LANGUAGES} labels, so it doesn't hold languages")
     names = sorted(sizes)
     place = {x: i for i, x in enumerate(names)}
     if not names:
@@ -104,16 +107,21 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     """From pages (page_id, url, html): page_id, host, domain (its last two labels), declared, suffix and plain text.
 
     declared: the two or three letters of the html element's lang, else of its xml:lang, else of a meta element's content-language. suffix: a first path part of two letters, else the top-level domain.
-    Null urls, null pages and pages without any such mark have empty values; a page is read whole, however long.
+    Null urls, null pages and pages without any such mark have empty values; a page is read whole, in time linear in its length (``markup``).
     """
-    url, html = F.lower(F.coalesce("url", F.lit(""))), F.coalesce("html", F.lit(""))
+    kind = dict(pages.dtypes)["page_id"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages_of = [x or "" for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([markup.declared(x) for x in pages_of], pa.string()), pa.array([markup.plain(x) for x in pages_of], pa.string())], ["page_id", "url", "declared", "plain"])
+
+    seen = pages.select("page_id", F.lower(F.coalesce("url", F.lit(""))).alias("url"), "html").mapInArrow(read, f"page_id {kind}, url string, declared string, plain string")
+    url = F.col("url")
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    found = [F.regexp_extract(html, rf"(?i)<{mark}\s*[\"']?\s*([a-z]{{2,3}})\b", 1) for mark in (r"html[^>]*\slang\s*=", r"html[^>]*\sxml:lang\s*=", r"meta\s[^>]*http-equiv\s*=\s*[\"']?content-language\b[^>]*\scontent\s*=", r"meta\s[^>]*\bcontent\s*=(?=[^>]*http-equiv\s*=\s*[\"']?content-language\b)")]
-    declared = F.lower(F.coalesce(*[F.when(x != "", x) for x in found], F.lit("")))
     path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#-]|$)", 1)
     top = F.regexp_extract(host, r"\.([a-z]{2,3})$", 1)
-    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]{1,10};", " ")
-    return pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), declared.alias("declared"), F.when(path != "", path).otherwise(top).alias("suffix"), plain.alias("plain"))
+    return seen.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), "declared", F.when(path != "", path).otherwise(top).alias("suffix"), "plain")
 
 
 def _softmax(scores: Column) -> Column:
