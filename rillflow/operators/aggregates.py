@@ -26,14 +26,21 @@ def lower_bound(sorted_array: Column, value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(F.bin(F.size(sorted_array)))), F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi")), step)["lo"]
 
 
-def key_blocks(df: DataFrame, keys: list[str], order: str, rows_per_block: int = ROWS_PER_BLOCK, most: int = 1024) -> DataFrame | None:
-    """``df`` with __block, which cuts the rows of large keys at approximate quantiles of ``order`` (a number or a time), or None if no key has more than ``rows_per_block`` rows.
+def large_keys(df: DataFrame, keys: list[str], rows_per_block: int | None = ROWS_PER_BLOCK) -> int | None:
+    """``rows_per_block`` if a key has more rows than that, else None: one count by key, combined in each task, for operators that would ask for blocks several times."""
+    if rows_per_block is None or df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_block).isEmpty():
+        return None
+    return rows_per_block
+
+
+def key_blocks(df: DataFrame, keys: list[str], order: str, rows_per_block: int | None = ROWS_PER_BLOCK, most: int = 1024) -> DataFrame | None:
+    """``df`` with __block, which cuts the rows of large keys at approximate quantiles of ``order`` (a number or a time), or None if no key has more than ``rows_per_block`` rows (or that is None).
 
     Blocks of a key ascend with ``order``, equal values (and nulls, which come first) are in one block, and keys that aren't large have block 0. What
     is read ahead is a count of rows by key, combined in each task. Quantiles are taken of large keys only; they are joined to the rows by key, a join whose large keys adaptive execution splits.
     """
     kind = dict(df.dtypes)[order]
-    if "timestamp" not in kind and kind not in ("date", "tinyint", "smallint", "int", "bigint", "float", "double") and "decimal" not in kind:
+    if rows_per_block is None or "timestamp" not in kind and kind not in ("date", "tinyint", "smallint", "int", "bigint", "float", "double") and "decimal" not in kind:
         return None
     value = F.unix_micros(F.col(order).cast("timestamp")) if kind == "date" or "timestamp" in kind else F.col(order).cast("long")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_block)
@@ -55,7 +62,7 @@ def _added(a: Column, b: Column) -> Column:
 _MERGES: dict[Callable, tuple] = {F.sum: (F.sum, _added), F.count: (F.sum, _added), F.max: (F.max, F.greatest), F.min: (F.min, F.least)}
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Column | tuple], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Column | tuple], rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """Each row with aggregates of its key over all rows up to it. aggs: name -> aggregate column, or (F.sum, F.count, F.max or F.min, column).
 
     In the second form a key with more than ``rows_per_block`` rows is the work of many tasks: aggregates run inside blocks of its rows (``key_blocks``), totals of blocks, a
@@ -73,6 +80,26 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Co
     return out.withColumns({n: _MERGES[f][1](F.col(n), F.col(f"__b_{n}")).cast(kinds[n]) for n, (f, _) in aggs.items()}).select(*df.columns, *aggs)
 
 
+def neighbours(df: DataFrame, keys: list[str], order: list[str], before: dict[str, Column], after: dict[str, Column], rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+    """Each row with columns of the row before it and after it in its key: name -> column.
+
+    A key with more than ``rows_per_block`` rows is cut into blocks; a block's first and last row get their neighbours from a table of the blocks' ends. ``order`` should tell rows apart.
+    """
+    blocked = key_blocks(df, keys, order[0], rows_per_block)
+    w = Window.partitionBy(*keys, *([] if blocked is None else ["__block"])).orderBy(*order)
+    beside = {n: F.lag(c).over(w) for n, c in before.items()} | {n: F.lead(c).over(w) for n, c in after.items()}
+    if blocked is None:
+        return df.withColumns(beside)
+    rows = blocked.withColumns(beside | {"__start": F.lag(F.lit(1)).over(w).isNull(), "__end": F.lead(F.lit(1)).over(w).isNull()})
+    pack = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()], F.lit(1).alias("__one"))
+    ends = blocked.groupBy(*keys, "__block").agg(F.max_by(pack(before), F.struct(*order)).alias("__tail"), F.min_by(pack(after), F.struct(*order)).alias("__head"))
+    by = Window.partitionBy(*keys).orderBy("__block")
+    ends = ends.select(*keys, "__block", F.lag("__tail").over(by).alias("__tail"), F.lead("__head").over(by).alias("__head"))
+    out = null_safe(rows, ends, [*keys, "__block"])
+    of = {n: F.when(F.col("__start"), F.col(f"__tail.{n}")).otherwise(F.col(n)) for n in before} | {n: F.when(F.col("__end"), F.col(f"__head.{n}")).otherwise(F.col(n)) for n in after}
+    return out.withColumns(of).select(*df.columns, *before, *after)
+
+
 def extreme_row(df: DataFrame, keys: list[str], value: str, tie: str, largest: bool = True) -> DataFrame:
     """The whole row with the greatest (or least) value per key; of equal ones the first by ``tie``. One aggregation with partial results, no sort of groups."""
     rest = [c for c in df.columns if c not in keys]
@@ -116,7 +143,7 @@ def block_of(df: DataFrame, column: str, rows_per_block: int = 20_000, most: int
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step)["lo"]
 
 
-def block_prefix_max(df: DataFrame, order: str, value: str, name: str, rows_per_block: int = 20_000, blocks_per_group: int = 1024) -> DataFrame:
+def block_prefix_max(df: DataFrame, order: str, value: str, name: str, rows_per_block: int = 200_000, blocks_per_group: int = 1024) -> DataFrame:
     """Adds the maximum of ``value`` over all rows before a row in ``order`` (a whole number), without a window over the whole table.
 
     Maxima of blocks (see ``block_of``) are scanned over groups of blocks, then over the blocks of a group, and then inside each block.

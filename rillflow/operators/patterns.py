@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import ROWS_PER_BLOCK, large_keys, neighbours, running
 from .windows import timer_chain
 
 
-def v_shape(df: DataFrame, keys: list[str], ts: str, price: str) -> DataFrame:
+def v_shape(df: DataFrame, keys: list[str], ts: str, price: str, rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """START DOWN+ UP: keys, start_ts, bottom_ts, end_ts of each match, resumed at its last row.
 
     A run of falling rows of length two or more, the row before it, and the row after it if its price is above the second-last of the run. Runs
-    share no row but a start that ends the match before, so no search is needed: one sort of each key.
+    share no row but a start that ends the match before, so no search is needed: one sort of each key, of blocks of it where it is large.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    rows = df.withColumns({"__p": F.lag(price).over(w), "__t": F.lag(ts).over(w), "__next": F.lead(price).over(w), "__next_t": F.lead(ts).over(w), "__p2": F.lag(price, 1).over(w)})
-    down = F.coalesce(F.col(price) < F.col("__p"), F.lit(False))
-    rows = rows.withColumn("__down", down).withColumn("__run", F.sum(F.when(~F.col("__down"), 1).otherwise(0)).over(w))
-    runs = rows.where("__down").groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("start_ts"), F.max(ts).alias("bottom_ts"), F.max_by("__p2", ts).alias("second"), F.max_by("__next", ts).alias("up"), F.max_by("__next_t", ts).alias("end_ts"))
+    size = large_keys(df, keys, rows_per_block)
+    p, t = F.col(price), F.col(ts)
+    rows = neighbours(df, keys, [ts], {"__p": p, "__t": t}, {"__next": p, "__next_t": t}, size)
+    rows = rows.withColumn("__down", F.coalesce(p < F.col("__p"), F.lit(False))).withColumn("__step", F.when(F.col("__down"), 0).otherwise(1))
+    rows = running(rows, keys, [ts], {"__run": (F.sum, "__step")}, size)
+    runs = rows.where("__down").groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("start_ts"), F.max(ts).alias("bottom_ts"), F.max_by("__p", ts).alias("second"), F.max_by("__next", ts).alias("up"), F.max_by("__next_t", ts).alias("end_ts"))
     return runs.where("n >= 2 and up > second").select(*keys, "start_ts", "bottom_ts", "end_ts")
 
 
@@ -43,16 +45,13 @@ def followed_elsewhere(df: DataFrame, keys: list[str], ts: str, place: str, with
     return found.join(ends, [*keys, "__last"]).select(*keys, F.col("__ts").alias("start_ts"), "end_ts", (F.col("__last") - F.col("__from") + 1).cast("long").alias("n"))
 
 
-def consecutive(df: DataFrame, keys: list[str], order: list[str], ts: str, hit: Column, times: int = 3) -> DataFrame:
+def consecutive(df: DataFrame, keys: list[str], order: list[str], ts: str, hit: Column, times: int = 3, rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """``times`` neighbouring rows that all satisfy ``hit``: keys, t1 ... tn. Matches overlap."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("__hit", hit)
-    ahead = {f"t{i + 1}": F.lead(ts, i).over(w) for i in range(times)}
-    hits = {f"__h{i}": F.lead("__hit", i).over(w) for i in range(1, times)}
-    rows = rows.withColumns(ahead | hits).where("__hit")
-    for i in range(1, times):
-        rows = rows.where(f"__h{i}")
-    return rows.select(*keys, *ahead)
+    size = large_keys(df, keys, rows_per_block)
+    rows = df.withColumns({"t1": F.col(ts), "__h1": hit})
+    for i in range(2, times + 1):
+        rows = neighbours(rows, keys, order, {}, {f"t{i}": F.col(f"t{i - 1}"), f"__h{i}": F.col(f"__h{i - 1}")}, size)
+    return rows.where(" and ".join(f"__h{i}" for i in range(1, times + 1))).select(*keys, *[f"t{i}" for i in range(1, times + 1)])
 
 
 def relaxed_times(df: DataFrame, keys: list[str], order: list[str], ts: str, hit: Column, times: int = 3) -> DataFrame:
@@ -60,15 +59,16 @@ def relaxed_times(df: DataFrame, keys: list[str], order: list[str], ts: str, hit
     return consecutive(df.where(hit), keys, order, ts, F.lit(True), times)
 
 
-def rising_alerts(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int) -> DataFrame:
+def rising_alerts(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """Alerts while values rise without a break: keys, alert_ts.
 
     A row above the one before (the first row of a key too) arms a timer ``seconds`` later if none is armed; a row that isn't above cancels it. When the timer fires, there is an alert, and the next rising row arms it again. A
     timer due at the time of the row that breaks the run still fires; at the end of the input, those due by the run's last row fire.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    rows = df.withColumn("__rise", F.coalesce(F.col(value) > F.lag(value).over(w), F.row_number().over(w) == 1)).withColumn("__next", F.lead(ts).over(w))
-    rows = rows.withColumn("__run", F.sum(F.when(~F.col("__rise"), 1).otherwise(0)).over(w)).where("__rise")
+    size = large_keys(df, keys, rows_per_block)
+    rows = neighbours(df, keys, [ts], {"__p": F.col(value), "__has": F.lit(1)}, {"__next": F.col(ts)}, size)
+    rows = rows.withColumn("__rise", F.coalesce(F.col(value) > F.col("__p"), F.col("__has").isNull())).withColumn("__step", F.when(F.col("__rise"), 0).otherwise(1))
+    rows = running(rows, keys, [ts], {"__run": (F.sum, "__step")}, size).where("__rise")
     ends = rows.groupBy(*keys, "__run").agg(F.max(F.coalesce("__next", ts)).alias("__end"))
     ticks = timer_chain(rows.select(*keys, "__run", ts), [*keys, "__run"], ts, seconds)
     return ticks.join(ends, [*keys, "__run"]).where("fired <= __end").select(*keys, F.col("fired").alias("alert_ts"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .aggregates import ROWS_PER_BLOCK, key_blocks, lower_bound, null_safe, running
+from .aggregates import ROWS_PER_BLOCK, key_blocks, large_keys, lower_bound, neighbours, null_safe, running
 
 
 def _with_bounds(df: DataFrame, w: str) -> DataFrame:
@@ -176,12 +176,14 @@ def timer_chain(df: DataFrame, keys: list[str], ts: str, seconds: float, rows_pe
     return out.select(*keys, moment(F.col("__t")).alias("armed"), moment(F.col("__t") + step).alias("fired"), F.col("__then").alias("n"), (F.col("__then") - F.col("__before")).alias("m"))
 
 
-def counted_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl: float, name: str = "n") -> DataFrame:
-    """Adds the rows of a key so far, counted anew where ``ttl`` seconds or more have passed since the row before, as a count that expires does."""
-    w = Window.partitionBy(*keys).orderBy("__t", tie)
+def counted_with_ttl(df: DataFrame, keys: list[str], ts: str, tie: str, ttl: float, name: str = "n", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+    """Adds the rows of a key so far, counted anew where ``ttl`` seconds or more have passed since the row before, as a count that expires does. A large key is cut into blocks."""
+    size = large_keys(df, keys, rows_per_block)
     rows = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("__new", F.coalesce((F.col("__t") - F.lag("__t").over(w) >= int(ttl * 1_000_000)).cast("int"), F.lit(0))).withColumn("__life", F.sum("__new").over(w))
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__life").orderBy("__t", tie)).cast("long")).drop("__t", "__new", "__life")
+    rows = neighbours(rows, keys, ["__t", tie], {"__last": F.col("__t")}, {}, size)
+    rows = rows.withColumn("__new", F.coalesce((F.col("__t") - F.col("__last") >= int(ttl * 1_000_000)).cast("int"), F.lit(0)))
+    rows = running(rows, keys, ["__t", tie], {"__life": (F.sum, "__new")}, size)
+    return numbered(rows, [*keys, "__life"], ["__t", tie], name, size).drop("__t", "__last", "__new", "__life")
 
 
 def last_rows_ranges(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: float, n: int, until=None) -> DataFrame:

@@ -90,6 +90,23 @@ def test_count_windows(spark):
         assert sorted(map(tuple, f(10**6).collect()), key=str) == sorted(map(tuple, f(40).collect()), key=str)
 
 
+def test_patterns_in_blocks(spark):
+    """Row patterns and counts that expire are the same, whether or not a key is cut."""
+    rng = random.Random(8)
+    _, df = table(spark, rng, 600, keys=(1, 1, 1, None), gap=12)
+    df = df.groupBy("k", "ts").agg(F.max("v").alias("v"), F.max("i").alias("i"))  # one row a time
+    cases = {
+        "v": lambda n: P.v_shape(df, ["k"], "ts", "v", n),
+        "next": lambda n: P.consecutive(df, ["k"], ["ts"], "ts", F.col("v") > 1, 3, n),
+        "rise": lambda n: P.rising_alerts(df, ["k"], "ts", "v", 2, n),
+        "ttl": lambda n: W.counted_with_ttl(df, ["k"], "ts", "i", 6, "n", n),
+        "beside": lambda n: A.neighbours(df, ["k"], ["ts"], {"b": F.col("v")}, {"a": F.col("i")}, n),
+    }
+    for name, f in cases.items():
+        plain, split = (sorted(map(tuple, f(n).collect()), key=str) for n in (None, 25))
+        assert plain and plain == split, name
+
+
 def test_last_rows_are_ranges(spark):
     """A row that nothing displaces is one row of the result, however many fires find it."""
     df = spark.createDataFrame([(1, 0, "a"), (1, 7, "b"), (1, 3_000_000, "c")], "k int, t long, x string").withColumn("ts", F.timestamp_seconds("t"))
