@@ -89,11 +89,20 @@ def _best_passage(part: np.ndarray, shingle_set: np.ndarray, w: int) -> tuple[fl
 
 def _rivals(prepared: list[tuple], least: float) -> dict[str, list[tuple]]:
     """(name, shingle set) of the siblings of each template: those that hold ``least`` of its shingles and have ``least`` of theirs in it, as other versions of one notice do."""
+    if not prepared:
+        return {}
+    sets = [t[2] for t in prepared]
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
     out: dict[str, list[tuple]] = {}
-    for a, _, x, _ in prepared:
-        for b, _, y, _ in prepared:
-            if a != b and len(np.intersect1d(x, y, assume_unique=True)) >= least * max(len(x), len(y)):
-                out.setdefault(a, []).append((b, y))
+    for a, x in enumerate(sets):  # how many of its shingles each other template holds, from the lists of those that hold one
+        lo, n = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right") - np.searchsorted(flat, x, "left")
+        holders = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        near = np.flatnonzero(np.bincount(holders, minlength=len(sets)) >= least * np.maximum(sizes, len(x)))
+        if len(near) > 1:
+            out[prepared[a][0]] = [(prepared[b][0], sets[b]) for b in near.tolist() if b != a]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -258,3 +259,29 @@ def test_license_punctuation_and_versions(spark):
         got.setdefault(r["doc_id"], set()).add(r["template"])
     want = [{"Apache-2.0 line"}, {"MIT line"}, {"GPL-2.0 line"}, {"GPL-3.0 line"}, {"GPL-2.0 line", "GPL-3.0 line"}] + [{"GPL-3.0 line"}] * 20
     assert got == dict(enumerate(want))
+
+
+def test_many_templates_are_prepared_fast():
+    """5,000 templates with siblings among them, against all pairs on a part."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = {}
+    for i in range(5_000):
+        if i % 5 == 4:
+            w = texts[f"t{i - 1}"].split()
+            w[rng.randrange(len(w))] = "changed"
+            texts[f"t{i}"] = " ".join(w)
+        else:
+            texts[f"t{i}"] = "common words of all licenses here " + " ".join(rng.choice(words) for _ in range(rng.randrange(60, 300)))
+    start = time.time()
+    prepared = licenses._prepared(texts, licenses.BANDS)
+    found = licenses._rivals(prepared, 0.75)
+    assert time.time() - start < 20
+    assert len(found) >= 1_900
+    some = prepared[:300]
+    want = {}
+    for a in some:
+        near = sorted(b[0] for b in some if a[0] != b[0] and len(np.intersect1d(a[2], b[2])) >= 0.75 * max(len(a[2]), len(b[2])))
+        if near:
+            want[a[0]] = near
+    assert {k: sorted(n for n, _ in v) for k, v in licenses._rivals(some, 0.75).items()} == want
