@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     A pair with J >= 0.75 is missed by the estimate with probability 1e-5 or less; no list, group or partner is capped. Work is linear in the texts of a group of
     close texts, and in the pairs that overlap where these are few. Only texts that are all near by estimate (0.375 or more) and yet not joined cost a comparison a pair, as nothing else can tell them apart; tasks return
-    forests of these, so nothing quadratic is written.
+    forests of these, but each text's set is sent once for each BLOCK_NODES texts of such a group, so that what is shuffled grows with the square of a group over that number.
     """
     carried = [f"carried_{c}" for c in carry]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(o) for c, o in zip(carry, carried)], F.col(text).alias("text"))
