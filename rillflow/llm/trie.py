@@ -123,15 +123,20 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, few: i
     ended = ended.repartition("key").sortWithinPartitions("key", "conv").mapInArrow(_endings, "key binary, depth int, conv long, n long, ends string, above binary")
     ended = written(ended)
 
-    nodes = [spark.createDataFrame([], NODE)]
+    def level_of(name: int, rows: DataFrame) -> DataFrame:
+        path = f"{base}/nodes/level={name}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(NODE).parquet(path)
+
+    below = spark.createDataFrame([], NODE)
     if cut < max(depths, default=0):
         none = lambda kind, name: F.lit(None).cast(kind).alias(name)
         rows = prefixes.where(F.col("level") > cut).select("key", "depth", "conv", "parent", "size", none("double", "n"), none("string", "ends"), "above")
         rows = rows.unionByName(ended.where(F.col("depth") > cut).select("key", "depth", "conv", none("binary", "parent"), none("long", "size"), F.col("n").cast("double").alias("n"), "ends", "above"))
-        nodes.append(written(rows.groupBy("above").applyInPandas(_peel_here, NODE)))
+        below = level_of(cut + 1, rows.groupBy("above").applyInPandas(_peel_here, NODE))
     for depth in range(cut, -1, -1):
         last_turn = F.col("depth") == depth + 1
-        alive = nodes[-1].where(last_turn).select(F.col("parent").alias("key"), "conv", F.col("n_convs").alias("n"), F.lit(1).alias("child"), "n_leaves", "saved", F.lit(None).cast("string").alias("ends"))
+        alive = below.where(last_turn).select(F.col("parent").alias("key"), "conv", F.col("n_convs").alias("n"), F.lit(1).alias("child"), "n_leaves", "saved", F.lit(None).cast("string").alias("ends"))
         here = ended.where(F.col("depth") == depth).select("key", "conv", "n", F.lit(0).alias("child"), F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved"), "ends")
         level = alive.unionByName(here).groupBy("key").agg(F.min("conv").alias("conv"), F.sum("n").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"), F.max("ends").alias("ends"))
         if depth:
@@ -139,10 +144,8 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, few: i
         else:
             level = level.withColumns({"parent": F.lit(None).cast("binary"), "size": F.lit(0).cast("long")})
         saved = F.col("saved") + (F.col("n_convs") - 1) * F.col("size")
-        nodes.append(written(level.select("key", F.lit(depth).alias("depth"), "conv", "parent", "n_convs", "n_children", F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), saved.alias("saved"), "ends")))
-    every = nodes[0]
-    for level in nodes[1:]:
-        every = every.unionByName(level)
+        below = level_of(depth, level.select("key", F.lit(depth).alias("depth"), "conv", "parent", "n_convs", "n_children", F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), saved.alias("saved"), "ends"))
+    every = spark.read.schema(NODE).parquet(f"{base}/nodes")
     above = every.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv").alias("parent_conv_id"))
     named = every.join(above, "parent", "left")
     return named.select(F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
