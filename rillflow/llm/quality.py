@@ -65,20 +65,23 @@ def bounds(sketch: DataFrame) -> DataFrame:
     """Bounds of each group from its sketch (lang, source, rate, bin, n): lang, source, rate, low, high.
 
     The quantiles come from the group's distribution merged with that of its language as if by PRIOR more documents, which is merged with that of all documents likewise; so a group with few documents
-    passes into its language without a step. With quantiles a, b and c at LEVELS, low is a - WIDTH * (b - a) and high c + WIDTH * (c - b).
+    passes into its language without a step. With quantiles a, b and c at LEVELS, low is a - WIDTH * (b - a) and high c + WIDTH * (c - b), or the mean of the merged
+    distribution where that is more: where most documents have none of what is counted, all three are 0, and what counts as much is then the group's mean, which the
+    documents that have very much of it raise, but not up to themselves.
     Each sketch is one array of its bins (some hundreds), and one pass over the bins finds the quantiles.
     """
-    packed = lambda by: merged(sketch, by).groupBy(*by, "rate").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"), F.sum("n").alias("total"))
+    packed = lambda by: merged(sketch, by).groupBy(*by, "rate").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"), F.sum("n").alias("total"), F.sum(F.col("bin") * F.col("n")).alias("sum"))
     own, wide, whole = packed(["lang", "source"]), packed(["lang"]), packed([])
-    wide = wide.select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("held").alias("l_held"), F.col("total").alias("l_total"))
-    whole = whole.select(F.col("rate").alias("a"), F.col("held").alias("a_held"), F.col("total").alias("a_total"), F.array_sort(F.map_keys("held")).alias("bins"))
+    wide = wide.select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("held").alias("l_held"), F.col("total").alias("l_total"), F.col("sum").alias("l_sum"))
+    whole = whole.select(F.col("rate").alias("a"), F.col("held").alias("a_held"), F.col("total").alias("a_total"), F.col("sum").alias("a_sum"), F.array_sort(F.map_keys("held")).alias("bins"))
     both = own.join(wide, own["lang"].eqNullSafe(wide["l"]) & (own["rate"] == wide["r"])).join(whole, own["rate"] == whole["a"])
     step = """aggregate(bins, named_struct('a', 0L, 'l', 0L, 'g', 0L, 'q', cast(array({none}) as array<bigint>)), (s, x) -> transform(array(
         named_struct('a', s.a + a_held[x], 'l', s.l + coalesce(try_element_at(l_held, x), 0L), 'g', s.g + coalesce(try_element_at(held, x), 0L), 'q', s.q)), t -> named_struct('a', t.a, 'l', t.l, 'g', t.g,
         'q', transform(t.q, (q, i) -> if(q is null and (t.g + {m} * ((t.l + {m} * (t.a / a_total)) / (l_total + {m}))) / (total + {m}) >= array({levels})[i], x, q))))[0]).q"""
     found = both.withColumn("q", F.expr(step.format(none=", ".join(["null"] * 3), m=f"{PRIOR}D", levels=", ".join(f"{x}D" for x in LEVELS))))
     q = [F.get("q", F.lit(i)) for i in range(3)]
-    return found.select("lang", "source", "rate", (q[0] - WIDTH * (q[1] - q[0])).alias("low"), (q[2] + WIDTH * (q[2] - q[1])).alias("high"))
+    mean = F.expr(f"(sum + {PRIOR}D * ((l_sum + {PRIOR}D * (a_sum / a_total)) / (l_total + {PRIOR}D))) / (total + {PRIOR}D)")
+    return found.select("lang", "source", "rate", (q[0] - WIDTH * (q[1] - q[0])).alias("low"), F.greatest((q[2] + WIDTH * (q[2] - q[1])).cast("double"), mean).alias("high"))
 
 
 def beyond(excess: Column, count: Column) -> Column:

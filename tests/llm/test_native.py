@@ -190,6 +190,19 @@ def test_quality_sql_with_large_groups(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == want and 1300 <= sum(r["kept"] for r in got) < len(got)
 
 
+def test_quality_of_few_repeated_lines(spark):
+    """Where most documents repeat no line, ten repeated lines count by the length of the document, and one that repeats most of its lines fails."""
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3))
+    texts = ["\n".join(line() for _ in range(60)) for _ in range(190)]
+    texts += ["\n".join([line() for _ in range(40)] + ["}"] * 3) for _ in range(10)]
+    texts += ["\n".join([line() for _ in range(9_989)] + ["}"] * 11), "\n".join([line() for _ in range(50)] + ["a b c"] * 60)]
+    docs = spark.createDataFrame([(i, t, "en", "code") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    failed = {r["doc_id"]: r["failed"] for r in quality.judged(docs).collect()}
+    assert failed[200] == [] and failed[201] == ["dup_lines_k"]
+    assert not any("dup_lines_k" in failed[i] for i in range(200))
+
+
 def test_quality_bounds_follow_their_source(spark):
     docs = spread_docs(spark)
     counts = quality.measured(docs).withColumns({k: F.expr(f"1000 * {c} div greatest({of}, 1)") for k, (c, of, _) in quality.RATES.items()})
