@@ -195,11 +195,11 @@ def test_quality_of_few_repeated_lines(spark):
     rng = random.Random(5)
     line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3))
     texts = ["\n".join(line() for _ in range(60)) for _ in range(190)]
-    texts += ["\n".join([line() for _ in range(40)] + ["}"] * 3) for _ in range(10)]
+    texts += ["\n".join([line() for _ in range(40)] + ["}"] * 6) for _ in range(10)]
     texts += ["\n".join([line() for _ in range(9_989)] + ["}"] * 11), "\n".join([line() for _ in range(50)] + ["a b c"] * 60)]
     docs = spark.createDataFrame([(i, t, "en", "code") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     failed = {r["doc_id"]: r["failed"] for r in quality.judged(docs).collect()}
-    assert failed[200] == [] and failed[201] == ["dup_lines_k"]
+    assert failed[200] == [] and "dup_lines_k" in failed[201]
     assert not any("dup_lines_k" in failed[i] for i in range(200))
 
 
