@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a key beyond which its rows are dealt to several tasks.
 ROWS_PER_BLOCK = 1_000_000
 
+#: Keys of several rows that are sent to all tasks at most.
+SHARED_KEYS = 1_000_000
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys``, null keys being equal; of the key columns the left ones stay."""
@@ -54,6 +57,33 @@ def key_blocks(df: DataFrame, keys: list[str], order: str, rows_per_block: int |
     return rows.withColumn("__block", F.coalesce(lower_bound(F.col("__cuts"), F.col("__v") + 1), F.lit(0))).drop("__v", "__cuts")
 
 
+def _row_counts(df: DataFrame, keys: list[str], array: Column, element: str) -> DataFrame:
+    """A row for each distinct element of each row's array: where it starts in the sorted array tells how often it is there. The outer inline keeps Spark from building the array a second time to test for empty ones."""
+    a = F.col("__a")
+    rows = df.select(*keys, F.sort_array(array).alias("__a"))
+    first = F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | ~F.get(a, i - 1).eqNullSafe(F.get(a, i - 2))))
+    rows = rows.select(*keys, "__a", first.alias("__first"))
+    each = F.transform("__first", lambda i, k: F.struct(F.get(a, i - 1).alias(element), (F.coalesce(F.get("__first", k + 1), F.size(a) + 1) - i).cast("long").alias("n")))
+    return rows.select(*keys, F.inline_outer(each)).where(F.col("n").isNotNull())
+
+
+def element_counts(df: DataFrame, keys: list[str], array: Column, element: str, shared_keys: int = SHARED_KEYS) -> DataFrame:
+    """How often (n) each element is in the arrays of a key: what groups the exploded rows by key and ``element``, without a shuffle of them.
+
+    Elements are counted inside each row; only rows whose key others share are exploded and grouped, with a shuffle. Which keys these are is read ahead, as a count of rows by
+    key; they are broadcast, and with more than ``shared_keys`` of them all rows are grouped. A row's array has to fit in a task, as it has for explode.
+    """
+    shared = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(*keys)
+    several = shared.count()
+    if not several:
+        return _row_counts(df, keys, array, element)
+    grouped = lambda rows: rows.select(*keys, F.explode(array).alias(element)).groupBy(*keys, element).agg(F.count(F.lit(1)).alias("n"))
+    if several > shared_keys:
+        return grouped(df)
+    alone = null_safe(df, F.broadcast(shared), keys, "left_anti")
+    return _row_counts(alone, keys, array, element).unionByName(grouped(null_safe(df, F.broadcast(shared), keys, "left_semi")))
+
+
 def _added(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 

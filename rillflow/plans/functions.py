@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..operators import aggregates as A
 from .base import query, t
 
 
@@ -79,7 +80,7 @@ def udtf_split_pipe(spark, d):
 
 @query("unnest_array", "select doc_id, word, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as word from documents) group by 1, 2")
 def unnest_array(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return A.element_counts(t(spark, d, "documents"), ["doc_id"], F.split("text", " "), "word")
 
 
 @query("unnest_map", "select c_custkey, 'name' as k, c_name as v from customer union all select c_custkey, 'segment', c_mktsegment from customer")
